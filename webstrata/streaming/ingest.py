@@ -45,7 +45,9 @@ def start(
 
     def store(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        rows = batch.filter(F.col("html").isNotNull()).dropDuplicates(["url"])
+        one = F.min_by(F.struct("label", "html"), F.md5("html"))
+        rows = batch.filter(F.col("html").isNotNull()).groupBy("url").agg(one.alias("c"))
+        rows = rows.select("url", "c.*")
         if number > 0:
             done = stored(spark, out).filter(F.col("batch") < number)
             rows = rows.join(done.select("url"), "url", "left_anti")
