@@ -44,8 +44,10 @@ def text_blocks(html: Column) -> Column:
     """``array<struct<tag,text>>`` of the target tags in document order, NULL when there is none.
 
     Arrow batches of the HTML column alone travel to Python; other columns stay in the JVM.
+    Marked as not deterministic, so that the optimizer never copies it into a filter and
+    every page is parsed once.
     """
-    return F.arrow_udf(_parse_batch, BLOCKS)(html)
+    return F.arrow_udf(_parse_batch, BLOCKS).asNondeterministic()(html)
 
 
 def _parse_batch(pages: pa.Array) -> pa.Array:

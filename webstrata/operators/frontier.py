@@ -19,9 +19,8 @@ def shortest_lists(page_links: DataFrame, bound: int) -> DataFrame:
     are taken per level, in URL order. The first ``bound`` links of a page hold at least
     ``bound - v`` unvisited ones, and these come before all its later links.
     """
-    return page_links.select(
-        "url", F.slice(F.sort_array("links"), F.lit(1), F.lit(bound)).alias("links")
-    ).filter(F.size("links") > 0)
+    first = F.slice(F.sort_array("links"), F.lit(1), F.lit(bound))
+    return page_links.select("url", first.alias("links"))
 
 
 def next_level(

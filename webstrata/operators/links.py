@@ -16,27 +16,31 @@ def page_links(pages: DataFrame, url: str = "url", html: str = "html") -> DataFr
 
 def links(pages: DataFrame) -> DataFrame:
     """``src_url, dst_url``, one row per distinct link of a page."""
-    return page_links(pages).select(
-        F.col("url").alias("src_url"), F.explode("links").alias("dst_url")
-    )
+    return _rows(page_links(pages))
+
+
+def _rows(page_links: DataFrame, *columns: str) -> DataFrame:
+    """One row per link.
+
+    The outer form, because for an inner explode the optimizer adds a filter on the array's
+    size that computes every link a second time.
+    """
+    return page_links.select(
+        F.col("url").alias("src_url"), F.explode_outer("links").alias("dst_url"), *columns
+    ).filter(F.col("dst_url").isNotNull())
 
 
 def same_domain_page_links(pages: DataFrame) -> DataFrame:
     """``url, domain, links``: links that stay on the page's domain. No shuffle."""
+    own = F.filter("links", lambda link: urls.domain(link) == F.col("domain"))
     return (
         page_links(pages)
         .withColumn("domain", urls.domain(F.col("url")))
-        .select(
-            "url",
-            "domain",
-            F.filter("links", lambda link: urls.domain(link) == F.col("domain")).alias("links"),
-        )
         .filter(F.col("domain") != "")
+        .select("url", "domain", own.alias("links"))
     )
 
 
 def same_domain_links(pages: DataFrame) -> DataFrame:
     """Edges ``src_url, dst_url, domain`` of the page graph."""
-    return same_domain_page_links(pages).select(
-        F.col("url").alias("src_url"), F.explode("links").alias("dst_url"), "domain"
-    )
+    return _rows(same_domain_page_links(pages), "domain")

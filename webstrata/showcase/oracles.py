@@ -346,7 +346,7 @@ def all_oracles() -> dict[str, str]:
         " FROM pages WHERE html IS NOT NULL",
         "fetch_status": f"""
           SELECT url, label, CASE WHEN p.html IS NULL THEN 'failed'
-            WHEN regexp_matches({clean('p.html')}, '(?is)<li(?:\\s[^>]*)?>\\s*[^<\\s].*?</li>') THEN 'success'
+            WHEN regexp_matches({clean('p.html')}, '(?is)<li>.*?[^<>\\s].*?</li>') THEN 'success'
             ELSE 'success_empty' END AS status
           FROM ({LISTED}) LEFT JOIN (SELECT url, html FROM pages) p USING (url)""",
         "resume_anti": TO_DO,

@@ -204,8 +204,8 @@ def norm_text(spark, folder):
 @query
 def text_blocks(spark, folder):
     parsed = pages(spark, folder).select("page_id", blocks.text_blocks(F.col("html")).alias("b"))
-    found = parsed.select("page_id", F.posexplode("b").alias("pos", "block"))
-    return found.select("page_id", F.col("pos").cast("bigint").alias("pos"), "block.tag", "block.text")
+    found = parsed.select("page_id", F.posexplode_outer("b").alias("pos", "block"))
+    return found.filter(F.col("pos").isNotNull()).select("page_id", F.col("pos").cast("bigint").alias("pos"), "block.tag", "block.text")
 
 
 @query
@@ -226,8 +226,8 @@ def leaf_blocks(spark, folder):
         pages(spark, folder).select(
             "page_id",
             F.lit(tag).alias("tag"),
-            F.posexplode(markup.leaf_blocks(html, tag)).alias("pos", "text"),
-        )
+            F.posexplode_outer(markup.leaf_blocks(html, tag)).alias("pos", "text"),
+        ).filter(F.col("pos").isNotNull())
         for tag in ("li", "h1")
     ]
     return longs(rows[0].unionByName(rows[1]))
