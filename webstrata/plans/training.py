@@ -50,6 +50,7 @@ class Training:
     column_share: float = settings.BOOSTING["column_share"]
     min_leaf_rows: int = settings.BOOSTING["min_leaf_rows"]
     tolerance: float = 0.0
+    linear_rounds: int = 1000
     test_share: float = settings.TEST_SHARE
     validation_share: float = 0.1
     seed: int = settings.SEED
@@ -150,16 +151,21 @@ def fit_boosted(features: DataFrame, config: Training, classes: int) -> Pipeline
     ).fit(features)
 
 
-def fit_linear(features: DataFrame, config: Training, column: str = "features") -> PipelineModel:
-    """Logistic regression over the whole sparse vector; C = 1 means regParam = 1 / rows."""
+def fit_linear(
+    features: DataFrame, config: Training, column: str = "features", standardize: bool = True
+) -> PipelineModel:
+    """Logistic regression over the whole sparse vector; C = 1 means regParam = 1 / rows.
+
+    The wide vector mixes counts and unit-length text, so its columns are standardized.
+    """
     rows = features.count()
     linear = LogisticRegression(
         featuresCol=column,
         labelCol="label",
         regParam=1.0 / max(rows, 1),
         elasticNetParam=0.0,
-        standardization=False,
-        maxIter=1000,
+        standardization=standardize,
+        maxIter=config.linear_rounds,
     )
     return Pipeline(stages=[linear]).fit(features)
 
@@ -210,7 +216,7 @@ def fit_url_only(train: DataFrame, config: Training) -> tuple[PipelineModel, lis
     """Character TF-IDF of ``url`` and logistic regression."""
     tfidf, names = fit_tfidf(train, CharNgrams(), settings.CHAR_VOCABULARY)
     vectors = tfidf.transform(train).select("label", "tfidf").persist()
-    fitted = fit_linear(vectors, config, "tfidf")
+    fitted = fit_linear(vectors, config, "tfidf", standardize=False)
     vectors.unpersist()
     return PipelineModel(stages=[*tfidf.stages, *fitted.stages]), names
 

@@ -26,7 +26,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 STOP_WORDS = ("the", "of", "and", "to", "in", "la", "le", "de", "der", "die", "el", "los")
 SHORT_PAGE = 2000
-SMALL = training.Training(keep=64, rounds=8)
+SMALL = training.Training(keep=64, rounds=8, linear_rounds=25)
 
 _QUERIES: dict[str, Query] = {}
 
