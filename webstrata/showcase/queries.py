@@ -682,8 +682,10 @@ def url_only_terms(spark, folder):
 
 @query
 def score_pages(spark, folder):
+    """Train, save, load, and score captured pages with the loaded model."""
     rows = stored_features(spark, folder, SMALL)
-    model = training.whole_model(SMALL, training.fit_linear(rows, SMALL))
+    train, _ = training.split_parts(rows, "url", SMALL)
+    model = training.whole_model(SMALL, training.fit_boosted(train, SMALL, classes=2))
     path = fresh_folder(spark, "model")
     training.save(model, path)
     return scoring.score_pages(training.load(path), pages(spark, folder))
