@@ -40,10 +40,13 @@ def word_set_count(text: Column, wanted: Iterable[str]) -> Column:
     """How often a whole word of ``wanted`` occurs; 0 for NULL.
 
     A word character is any letter, digit or ``_`` of any script (Java's ``\\b`` would also
-    count combining marks). One regular expression pass; no word array is built.
+    count combining marks). One regular expression pass; no word array is built, and the
+    borders are looked at only where a wanted word stands.
     """
-    choice = "|".join(re.escape(word) for word in wanted)
-    pattern = rf"(?<![\p{{L}}\p{{N}}_])(?:{choice})(?![\p{{L}}\p{{N}}_])"
+    border = r"[\p{L}\p{N}_]"
+    pattern = "|".join(
+        f"{w}(?!{border})(?<!{border}{w})" for w in (re.escape(word) for word in wanted)
+    )
     return F.coalesce(F.regexp_count(F.lower(text), F.lit(pattern)), F.lit(0))
 
 

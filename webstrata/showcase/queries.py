@@ -57,6 +57,15 @@ def pages(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "pages")
 
 
+def heavy_pages(spark: SparkSession, folder: str) -> DataFrame:
+    """Pages for parsing and pattern matching: on all cores even when the file has one split."""
+    return tables.spread(pages(spark, folder), "url")
+
+
+def heavy_documents(spark: SparkSession, folder: str) -> DataFrame:
+    return tables.spread(table(spark, folder, "documents").select("doc_id", "text"), "doc_id")
+
+
 def with_label(df: DataFrame) -> DataFrame:
     host = urls.domain(F.col("url"))
     return df.withColumns({"domain": host, "label": host.startswith("blog.").cast("int")})
@@ -86,7 +95,7 @@ def marked_pages(spark: SparkSession, folder: str) -> DataFrame:
         .otherwise('<!-- <form> -->')
     )
     forms = F.repeat(F.lit('<form action="/s"><a name="x">y</a></form><FORM>'), F.length("url") % 4)
-    return pages(spark, folder).withColumn("html", F.concat(generator, script, "html", forms))
+    return heavy_pages(spark, folder).withColumn("html", F.concat(generator, script, "html", forms))
 
 
 def marked_urls(spark: SparkSession, folder: str) -> DataFrame:
@@ -102,7 +111,7 @@ def marked_text(spark: SparkSession, folder: str) -> DataFrame:
     value = F.col("text")
     for old, new in ((" the ", " We "), (" of ", " my "), (" and ", " services, "), (" la ", " i-b2b ")):
         value = F.replace(value, F.lit(old), F.lit(new))
-    return table(spark, folder, "documents").select("doc_id", value.alias("text"))
+    return heavy_documents(spark, folder).select("doc_id", value.alias("text"))
 
 
 # --- sources and projections ---
@@ -150,7 +159,7 @@ def suffix_flags(spark, folder):
 @query
 def structural_features(spark, folder):
     return longs(
-        markup.with_structural_features(pages(spark, folder).select("page_id", "html")).drop("html")
+        markup.with_structural_features(heavy_pages(spark, folder).select("page_id", "html")).drop("html")
     )
 
 
@@ -164,7 +173,7 @@ def structural_features_marked(spark, folder):
 def tag_counts(spark, folder):
     html = F.col("html")
     return longs(
-        pages(spark, folder).select(
+        heavy_pages(spark, folder).select(
             "page_id", *[markup.tag_count(html, t).alias(f"{t}_count") for t in ("li", "p", "b")]
         )
     )
@@ -203,7 +212,7 @@ def norm_text(spark, folder):
 
 @query
 def text_blocks(spark, folder):
-    parsed = pages(spark, folder).select("page_id", blocks.text_blocks(F.col("html")).alias("b"))
+    parsed = heavy_pages(spark, folder).select("page_id", blocks.text_blocks(F.col("html")).alias("b"))
     found = parsed.select("page_id", F.posexplode_outer("b").alias("pos", "block"))
     return found.filter(F.col("pos").isNotNull()).select("page_id", F.col("pos").cast("bigint").alias("pos"), "block.tag", "block.text")
 
@@ -223,7 +232,7 @@ def text_block_headings(spark, folder):
 def leaf_blocks(spark, folder):
     html = F.col("html")
     rows = [
-        pages(spark, folder).select(
+        heavy_pages(spark, folder).select(
             "page_id",
             F.lit(tag).alias("tag"),
             F.posexplode_outer(markup.leaf_blocks(html, tag)).alias("pos", "text"),
@@ -235,7 +244,7 @@ def leaf_blocks(spark, folder):
 
 @query
 def text_content(spark, folder):
-    parsed = pages(spark, folder).select("page_id", blocks.text_blocks(F.col("html")).alias("b"))
+    parsed = heavy_pages(spark, folder).select("page_id", blocks.text_blocks(F.col("html")).alias("b"))
     joined = text.block_text(F.col("b"))
     return parsed.select(
         "page_id", F.length(joined).cast("bigint").alias("chars"), F.md5(joined).alias("digest")
@@ -281,7 +290,7 @@ def dropna(spark, folder):
 
 @query
 def distinct_urls(spark, folder):
-    found = links.links(pages(spark, folder))
+    found = links.links(heavy_pages(spark, folder))
     return found.select(F.col("dst_url").alias("url")).dropDuplicates(["url"])
 
 
@@ -353,12 +362,12 @@ def label_dist(spark, folder):
 
 @query
 def links_(spark, folder):
-    return links.links(pages(spark, folder))
+    return links.links(heavy_pages(spark, folder))
 
 
 @query
 def same_domain_links(spark, folder):
-    return links.same_domain_links(pages(spark, folder))
+    return links.same_domain_links(heavy_pages(spark, folder))
 
 
 @query
@@ -376,7 +385,7 @@ def label_by_domain(spark, folder):
 
 @query
 def frontier_level1(spark, folder):
-    source = pages(spark, folder)
+    source = heavy_pages(spark, folder)
     start = page_seeds(source)
     lists = frontier.shortest_lists(links.same_domain_page_links(source), settings.MAX_LINKS)
     found = frontier.next_level(start, start, lists, settings.MAX_LINKS, 1)
@@ -385,7 +394,7 @@ def frontier_level1(spark, folder):
 
 @query
 def frontier_(spark, folder):
-    source = pages(spark, folder)
+    source = heavy_pages(spark, folder)
     found = url_list.url_list(page_seeds(source), source)
     return longs(found.select("domain", "url", "label", "depth"))
 
@@ -395,7 +404,8 @@ def order_pages(spark: SparkSession, folder: str) -> DataFrame:
     key = F.col("o_orderkey")
     site = F.concat(F.lit("s"), F.when(key % 3 == 0, F.lit(0)).otherwise(key % 50).cast("string"))
     anchors = [F.concat(F.lit('<a href="/o/'), (key + step).cast("string"), F.lit('#x">')) for step in (150, 300, 1050)]
-    return table(spark, folder, "orders").select(
+    orders = tables.spread(table(spark, folder, "orders").select("o_orderkey"), "o_orderkey")
+    return orders.select(
         key.alias("page_id"),
         F.concat(F.lit("https://"), site, F.lit(".example.com/o/"), key.cast("string")).alias("url"),
         F.concat(*anchors).alias("html"),
@@ -414,7 +424,7 @@ def frontier_orders(spark, folder):
 
 def _listed(spark: SparkSession, folder: str) -> DataFrame:
     """URL list: stored pages and the pages their sites link to."""
-    source = pages(spark, folder)
+    source = heavy_pages(spark, folder)
     linked = links.same_domain_links(source).select(F.col("dst_url").alias("url"))
     both = source.select("url").unionByName(linked).dropDuplicates(["url"])
     return with_label(both).drop("domain")
@@ -496,7 +506,7 @@ def named_list_csv(spark, folder):
 
 def _documents(spark: SparkSession, folder: str) -> DataFrame:
     words = text.tokens(F.col("text"), STOP_WORDS)
-    return table(spark, folder, "documents").select("doc_id", words.alias("words"))
+    return heavy_documents(spark, folder).select("doc_id", words.alias("words"))
 
 
 def _digest(df: DataFrame, key: str, terms: str, separator: str) -> DataFrame:
@@ -582,7 +592,7 @@ def confusion(spark, folder):
 def main_table(spark: SparkSession, folder: str) -> DataFrame:
     """Pages with a label and parsed blocks, stored once for the queries that need them."""
     path = fresh_folder(spark, "main")
-    rows = with_label(pages(spark, folder)).drop("domain")
+    rows = with_label(heavy_pages(spark, folder)).drop("domain")
     sinks.append_pages(enrich.usable(enrich.enrich(rows)), path)
     return tables.enriched(spark, path)
 

@@ -51,6 +51,16 @@ def pages(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Hand a table of few splits to all cores before work that costs far more than moving it.
+
+    A table with at least as many splits as cores, as any large one has, is left as it is:
+    no shuffle. ``key`` is close to unique.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores, key)
+
+
 def enriched(spark: SparkSession, path: str, glob: str | None = None) -> DataFrame:
     """The main table with its fixed schema; ``glob`` selects files by name."""
     reader = spark.read.schema(ENRICHED)
