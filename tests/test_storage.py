@@ -159,3 +159,31 @@ def test_rates_as_stream_equal_the_table(spark, folder):
     assert {k: n for k, n in streamed.items()} == {str(k): n for k, n in whole.items() if str(k) in streamed}
 
 
+
+
+def test_training_run(spark, folder, tmp_path):
+    source, features, out = (str(tmp_path / n) for n in ("main", "features", "out"))
+    sinks.append_pages(main_rows(spark, folder), source)
+    report = training.run(spark, source, features, out, TINY)
+    assert {r.name for r in report.collect()} >= {"0", "1", "accuracy", "macro avg", "weighted avg"}
+    training.load(f"{out}/model")
+    assert spark.read.json(f"{out}/confusion").count() == 2
+    assert spark.read.json(f"{out}/labels").agg(F.sum("n")).first()[0] == 50
+    assert spark.read.json(f"{out}/manifest").first().run_id
+
+
+def test_early_stopping_has_patience():
+    assert training.best_round([3, 2, 2.5, 1, 1.5, 1.2], 2) == 4
+    assert training.best_round([3, 2, 2.5, 2.4, 1], 2) == 2
+    assert training.best_round([1.0], 50) == 1
+
+
+def test_captures_of_a_url_are_folded(spark, rows, tmp_path):
+    captures = rows(
+        "url string, html string, status int, content_type string, at int",
+        ("a", "<p>late</p>", 200, "text/html", 2), ("a", "<p>early</p>", 200, "text/html", 1),
+        ("a", "<p>error</p>", 500, "text/html", 0), ("b", "x", 200, "image/png", 1),
+    )
+    listed = rows("url string, label int", ("a", 1), ("b", 1))
+    enrichment.run(listed, captures, str(tmp_path / "out"), served=True, order="at")
+    assert [r.html_content for r in tables.enriched(spark, str(tmp_path / "out")).collect()] == ["<p>early</p>"]

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from dataclasses import asdict, dataclass
 
-from pyspark.ml import Estimator, Pipeline, PipelineModel, Transformer
+from pyspark.ml import Pipeline, PipelineModel, Transformer
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, OneVsRest
 from pyspark.ml.feature import (
     CountVectorizerModel,
@@ -30,6 +30,7 @@ from webstrata.functions import keys, labels
 from webstrata.operators import metrics, split, vocabulary
 from webstrata.operators.checkpoints import checkpoint_root
 from webstrata.plans.stages import CharNgrams, PageFeatures, WordNgrams
+from webstrata.sources import sinks
 
 DENSE = [*settings.URL_FEATURES, *settings.STRUCTURAL_FEATURES, *settings.CONTENT_FEATURES]
 
@@ -49,7 +50,7 @@ class Training:
     row_share: float = settings.BOOSTING["row_share"]
     column_share: float = settings.BOOSTING["column_share"]
     min_leaf_rows: int = settings.BOOSTING["min_leaf_rows"]
-    tolerance: float = 0.0
+    patience: int = settings.BOOSTING["patience"]
     linear_rounds: int = 1000
     test_share: float = settings.TEST_SHARE
     validation_share: float = 0.1
@@ -109,17 +110,39 @@ def boosted(config: Training, column: str = "boost_vec") -> GBTClassifier:
         subsamplingRate=config.row_share,
         featureSubsetStrategy=str(config.column_share),
         minInstancesPerNode=config.min_leaf_rows,
-        validationTol=config.tolerance,
         seed=config.seed,
     )
 
 
-def classifier(config: Training, classes: int, column: str = "boost_vec") -> Estimator:
-    """Boosted trees; for more than two classes one model per class and the best one wins."""
+def best_round(losses: list[float], patience: int) -> int:
+    """Rounds to keep: up to the least loss that ``patience`` later rounds do not improve on."""
+    best = 0
+    for i, loss in enumerate(losses):
+        if loss < losses[best]:
+            best = i
+        elif i - best >= patience:
+            break
+    return best + 1
+
+
+def fit_trees(rows: DataFrame, config: Training, classes: int, column: str = "boost_vec"):
+    """Boosted trees over ``column``, stopped early on the log-loss of the validation rows.
+
+    Rounds depend on earlier ones only and the seed is fixed, so fitting again with fewer
+    rounds gives the same first trees. For more than two classes there is one model per
+    class, the most probable class wins, and all rounds are kept.
+    """
+    checkpoint_root(rows.sparkSession)
     trees = boosted(config, column)
-    if classes == 2:
-        return trees.setValidationIndicatorCol("is_validation")
-    return OneVsRest(classifier=trees, labelCol="label", featuresCol=column)
+    if classes > 2:
+        return OneVsRest(classifier=trees, labelCol="label", featuresCol=column).fit(rows)
+    train = rows.filter(~F.col("is_validation"))
+    validation = rows.filter("is_validation")
+    model = trees.fit(train)
+    if validation.isEmpty():
+        return model
+    keep = best_round(model.evaluateEachIteration(validation), config.patience)
+    return model if keep == config.rounds else trees.setMaxIter(keep).fit(train)
 
 
 def selector(config: Training, column: str, out: str) -> UnivariateFeatureSelector:
@@ -141,14 +164,13 @@ def split_parts(rows: DataFrame, key: str, config: Training) -> tuple[DataFrame,
 
 def fit_boosted(features: DataFrame, config: Training, classes: int) -> PipelineModel:
     """Fit on stored feature rows (with ``is_validation``)."""
-    checkpoint_root(features.sparkSession)
-    return Pipeline(
-        stages=[
-            selector(config, "text_vec", "text_top"),
-            VectorAssembler(inputCols=["text_top", *DENSE], outputCol="boost_vec"),
-            classifier(config, classes),
-        ]
-    ).fit(features)
+    chosen = selector(config, "text_vec", "text_top").fit(features)
+    joined = VectorAssembler(inputCols=["text_top", *DENSE], outputCol="boost_vec")
+    vectors = joined.transform(chosen.transform(features))
+    vectors = vectors.select("label", "is_validation", "boost_vec").persist()
+    trees = fit_trees(vectors, config, classes)
+    vectors.unpersist()
+    return PipelineModel(stages=[chosen, joined, trees])
 
 
 def fit_linear(
@@ -203,13 +225,12 @@ def fit_content_only(train: DataFrame, config: Training) -> tuple[PipelineModel,
     low, high = config.ngrams
     ngrams = WordNgrams(low=low, high=high, stopWords=config.words())
     tfidf, names = fit_tfidf(train, ngrams, settings.WORD_VOCABULARY)
-    checkpoint_root(train.sparkSession)
-    chosen = selector(config, "tfidf", "boost_vec")
     vectors = tfidf.transform(train).select("label", "is_validation", "tfidf").persist()
-    fitted = Pipeline(stages=[chosen, classifier(config, 2)]).fit(vectors)
+    chosen = selector(config, "tfidf", "boost_vec").fit(vectors)
+    trees = fit_trees(chosen.transform(vectors), config, classes=2)
     vectors.unpersist()
-    kept = [names[i] for i in fitted.stages[0].selectedFeatures]
-    return PipelineModel(stages=[*tfidf.stages, *fitted.stages]), kept
+    kept = [names[i] for i in chosen.selectedFeatures]
+    return PipelineModel(stages=[*tfidf.stages, chosen, trees]), kept
 
 
 def fit_url_only(train: DataFrame, config: Training) -> tuple[PipelineModel, list[str]]:
@@ -294,3 +315,34 @@ def load(path: str) -> PipelineModel:
     ):
         raise ValueError(f"{path} holds no model with feature stages and a classifier; train again")
     return model
+
+
+def run(
+    spark: SparkSession,
+    source: str,
+    features: str,
+    out: str,
+    config: Training = Training(),
+    rebuild: bool = False,
+) -> DataFrame:
+    """Train the main model on the main table at ``source``; returns its report.
+
+    Writes the feature table below ``features``, and below ``out`` the model, the label
+    distribution, the report, the confusion matrix and the manifest.
+    """
+    shape = {"buckets": config.buckets, "ngrams": config.ngrams, "stop_words": config.words()}
+    rows, _ = sinks.feature_table(
+        source, features, shape, lambda table: feature_rows(table, config), spark, rebuild
+    )
+    classes = split.require_classes(rows)
+    sinks.write_report(metrics.label_distribution(rows, "label"), f"{out}/labels")
+    train, test = split_parts(rows, "url", config)
+    fitted = fit_boosted(train, config, classes)
+    save(whole_model(config, fitted), f"{out}/model")
+    scored = fitted.transform(test).select("label", F.col("prediction").cast("int"))
+    matrix = metrics.confusion_matrix(scored, "label", "prediction", list(range(classes)))
+    sinks.write_report(matrix, f"{out}/confusion")
+    found = report(fitted.transform(test), multiclass=classes > 2)
+    sinks.write_report(found, f"{out}/report")
+    sinks.write_report(manifest(found, config), f"{out}/manifest")
+    return spark.read.json(f"{out}/report")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from webstrata import settings
 from webstrata.functions import urls
-from webstrata.operators import frontier, links, seeds
+from webstrata.operators import enrich, frontier, links, seeds
 
 
 def standard_list(lines: DataFrame) -> DataFrame:
@@ -36,8 +36,6 @@ def url_list(
     With ``served`` the pages carry ``status`` and ``content_type``, and only those that
     answered with HTML lead on.
     """
-    from webstrata.operators.enrich import served_as_html
-
-    source = served_as_html(pages) if served else pages
+    source = enrich.served_as_html(pages) if served else pages
     edges = links.same_domain_page_links(source)
     return frontier.expand(seed_rows, edges, bound)

@@ -649,7 +649,7 @@ def multiclass_report(spark, folder):
     train, test = training.split_parts(rows.select("key", "label", "text_vec"), "key", config)
     classes = split.require_classes(train)
     chosen = training.selector(config, "text_vec", "boost_vec").fit(train)
-    model = training.classifier(config, max(classes, 3)).fit(chosen.transform(train))
+    model = training.fit_trees(chosen.transform(train), config, max(classes, 3))
     return training.report(model.transform(chosen.transform(test)), multiclass=True)
 
 
