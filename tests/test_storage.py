@@ -3,7 +3,7 @@ import json
 
 from pyspark.sql import functions as F
 
-from webstrata.operators import metrics
+from webstrata.operators import enrich, metrics
 from webstrata.plans import enrichment, scoring, training
 from webstrata.showcase import queries
 from webstrata.sources import sinks, tables
@@ -187,3 +187,17 @@ def test_captures_of_a_url_are_folded(spark, rows, tmp_path):
     listed = rows("url string, label int", ("a", 1), ("b", 1))
     enrichment.run(listed, captures, str(tmp_path / "out"), served=True, order="at")
     assert [r.html_content for r in tables.enriched(spark, str(tmp_path / "out")).collect()] == ["<p>early</p>"]
+
+
+def test_bucketed_pages_are_not_shuffled(spark, rows, tmp_path):
+    pages = rows("url string, html string", *[(f"u{i}", "<p>x</p>") for i in range(50)])
+    spark.sql(f"CREATE DATABASE IF NOT EXISTS stored LOCATION '{tmp_path}/stored'")
+    sinks.bucket_pages(pages, "stored.pages", 4)
+    listed = rows("url string, label int", *[(f"u{i}", 1) for i in range(60)])
+    joined = enrich.fetched(listed.hint("merge"), tables.bucketed_pages(spark, "stored.pages"), "inner")
+    assert joined.count() == 50
+    plan = joined._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning(url") <= 2  # initial and final form of the list side
+    scan = plan[plan.index("FileScan parquet spark_catalog.stored.pages"):]
+    assert "Bucketed: true" in scan
+    spark.sql("DROP DATABASE stored CASCADE")

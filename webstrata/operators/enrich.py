@@ -30,12 +30,13 @@ def served_as_html(pages: DataFrame) -> DataFrame:
     return pages.filter(is_live(F.col("status")) & F.col("content_type").contains("text/html"))
 
 
-def fetched(url_list: DataFrame, pages: DataFrame) -> DataFrame:
+def fetched(url_list: DataFrame, pages: DataFrame, how: str = "left") -> DataFrame:
     """``url, label, html``: the stored HTML of every listed URL, NULL where there is none.
 
-    ``pages`` has one row per URL (see ``one_capture``).
+    ``pages`` has one row per URL (see ``one_capture``). With ``inner`` URLs without a page,
+    which are not stored anyway, are left out, and Spark may filter pages before the shuffle.
     """
-    return url_list.join(pages.select("url", "html"), "url", "left")
+    return url_list.join(pages.select("url", "html"), "url", how)
 
 
 def one_capture(pages: DataFrame, order: str) -> DataFrame:

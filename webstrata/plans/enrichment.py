@@ -28,5 +28,5 @@ def run(
     source = enrich.served_as_html(pages) if served else pages
     if order:
         source = enrich.one_capture(source, order)
-    rows = enrich.usable(enrich.enrich(enrich.fetched(todo, source)))
+    rows = enrich.usable(enrich.enrich(enrich.fetched(todo, source, "inner")))
     sinks.append_pages(rows, out, rows_per_file)

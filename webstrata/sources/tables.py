@@ -51,6 +51,11 @@ def pages(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
+def bucketed_pages(spark: SparkSession, name: str) -> DataFrame:
+    """Pages stored by ``sinks.bucket_pages``: a join on the URL moves only its other side."""
+    return spark.read.table(name)
+
+
 def spread(df: DataFrame, key: str) -> DataFrame:
     """Hand a table of few splits to all cores before work that costs far more than moving it.
 
@@ -72,11 +77,14 @@ def enriched(spark: SparkSession, path: str, glob: str | None = None) -> DataFra
 def snapshot_key(spark: SparkSession, path: str) -> str:
     """Identity of the files below ``path``: changes when one is added, removed or rewritten.
 
-    Only file names, sizes and times are combined, in Spark and in any order.
+    One row per file, without its content; combined in Spark and in any order.
     """
-    meta = spark.read.parquet(path).select(
-        "_metadata.file_path", "_metadata.file_size", "_metadata.file_modification_time"
+    files = (
+        spark.read.format("binaryFile")
+        .option("pathGlobFilter", "*.parquet")
+        .option("recursiveFileLookup", True)
+        .load(path)
+        .select(F.xxhash64("path", "length", "modificationTime").alias("h"))
     )
-    files = meta.distinct().select(F.xxhash64("*").alias("h"))
     row = files.agg(F.count(F.lit(1)).alias("n"), F.bit_xor("h").alias("x")).first()
     return f"{row['n']}-{row['x'] or 0:x}"
