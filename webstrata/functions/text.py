@@ -110,7 +110,10 @@ def with_term_counts(df: DataFrame, terms: str, out: str) -> DataFrame:
     to the next one. So no shuffle on (document, term) is needed.
     """
     size, starts = F.size("_sorted"), F.col("_starts")
-    term = lambda i: F.get(F.col("_sorted"), i)
+
+    def term(i: Column) -> Column:
+        return F.get(F.col("_sorted"), i)
+
     return (
         df.withColumn("_sorted", F.sort_array(F.coalesce(terms, F.array().cast("array<string>"))))
         .withColumn(

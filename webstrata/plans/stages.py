@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark import keyword_only
+from collections.abc import Iterable
+
 from pyspark.ml import Transformer
 from pyspark.ml.param import Param, Params, TypeConverters
 from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
@@ -38,26 +39,18 @@ class WordNgrams(Transformer, DefaultParamsReadable, DefaultParamsWritable):
     high = Param(Params._dummy(), "high", "longest n-gram", TypeConverters.toInt)
     stopWords = Param(Params._dummy(), "stopWords", "dropped words", TypeConverters.toListString)
 
-    @keyword_only
     def __init__(
         self,
-        *,
-        inputCol="text_content",
-        outputCol="terms",
-        low=settings.WORD_NGRAMS[0],
-        high=settings.WORD_NGRAMS[1],
-        stopWords=(),
+        inputCol: str = "text_content",
+        outputCol: str = "terms",
+        low: int = settings.WORD_NGRAMS[0],
+        high: int = settings.WORD_NGRAMS[1],
+        stopWords: Iterable[str] = (),
     ):
         super().__init__()
-        self._set(**{k: list(v) if k == "stopWords" else v for k, v in self._input_kwargs.items()})
-        for name, value in (
-            ("inputCol", "text_content"),
-            ("outputCol", "terms"),
-            ("low", settings.WORD_NGRAMS[0]),
-            ("high", settings.WORD_NGRAMS[1]),
-            ("stopWords", []),
-        ):
-            self._setDefault(**{name: value})
+        self._set(
+            inputCol=inputCol, outputCol=outputCol, low=low, high=high, stopWords=list(stopWords)
+        )
 
     def _transform(self, dataset: DataFrame) -> DataFrame:
         get = self.getOrDefault
