@@ -93,7 +93,9 @@ def test_limit_per_key_with_a_hot_key(spark):
     key = F.when(F.col("id") % 3 == 0, "hot").otherwise((F.col("id") % 40).cast("string"))
     df = spark.range(5000).select(key.alias("k"), "id")
     got = defaultdict(list)
-    for r in skew.limit_per_key(df, "k", ["id"], 7, 7).collect():
+    limited = skew.limit_per_key(df, "k", ["id"], 7, 7)
+    assert limited._jdf.queryExecution().executedPlan().toString().count("WindowGroupLimit") == 4
+    for r in limited.collect():
         got[r.k].append(r.id)
     expected = defaultdict(list)
     for r in df.orderBy("id").collect():
@@ -156,6 +158,18 @@ def test_split_stratified(spark, bits):
         assert chosen == set(ranked[: int(len(urls_) * 0.2 + 0.5)])
 
 
+def test_split_stratified_keeps_copies_together(spark):
+    key = F.when(F.col("id") % 3 == 0, "hot").otherwise(F.concat(F.lit("u"), F.col("id") % 400))
+    df = spark.range(1200).select(key.alias("url"), F.lit(1).alias("label"), "id")
+    got = split.stratified(df, "url", "label", share=0.5, bits=4).collect()
+    assert len({r.id for r in got}) == 1200
+    sides = defaultdict(set)
+    for r in got:
+        sides[r.url].add(r.is_test)
+    assert all(len(s) == 1 for s in sides.values())
+    assert 600 - 400 < sum(r.is_test for r in got) <= 600
+
+
 def test_class_guard(rows):
     with pytest.raises(ValueError):
         split.require_classes(rows("label int", (1,), (1,)))

@@ -13,14 +13,17 @@ def limit_per_key(
 
     Two rounds: first within (key, salt), then within the key on what is left, at most
     ``salts * bound`` rows per key. Both rounds are ``row_number`` filters, which Spark also
-    applies before the shuffle. ``bound`` is the largest value ``limit`` can take. With one
+    applies before the shuffle. The salt mixes the order columns with the input partition,
+    so that even very many equal rows are spread; the result does not depend on it. ``bound`` is the largest value ``limit`` can take. With one
     salt there is one round, for input that is known to hold few rows per key.
     """
     kept = df
     if salts > 1:
         local = Window.partitionBy(key, "_salt").orderBy(*order)
         kept = (
-            df.withColumn("_salt", F.pmod(F.xxhash64(*order), F.lit(salts)))
+            df.withColumn(
+                "_salt", F.pmod(F.xxhash64(*order) + F.spark_partition_id(), F.lit(salts))
+            )
             .withColumn("_rank", F.row_number().over(local))
             .filter(F.col("_rank") <= bound)
             .drop("_salt")

@@ -133,6 +133,39 @@ def leaf_rows() -> str:
     return " UNION ALL ".join(parts)
 
 
+def trimmed(text: str) -> str:
+    return f"regexp_replace({text}, '^{SPACE}+|{SPACE}+$', '', 'g')"
+
+
+# Tags and text pieces in order; an element ends at the end tag that brings the depth of its
+# name back, or, as paragraphs of the stored pages may stay open, with its article.
+_NAMES = ", ".join(f"'{t}'" for t in settings.BLOCK_TAGS)
+PAGE_BLOCKS = rf"""
+  WITH t AS MATERIALIZED (
+    SELECT page_id, idx, tok, regexp_extract(lower(tok), '^</?([a-z][a-z0-9]*)', 1) AS name,
+           CASE WHEN starts_with(tok, '</') THEN -1 WHEN starts_with(tok, '<') THEN 1 ELSE 0 END AS kind
+    FROM (SELECT page_id, toks[idx] AS tok, idx FROM
+      (SELECT page_id, toks, unnest(range(1, len(toks) + 1)) AS idx FROM
+        (SELECT page_id, regexp_extract_all({clean('html')}, '<[^>]*>|[^<]+') AS toks FROM pages)))),
+  m AS MATERIALIZED (
+    SELECT *, sum(kind) OVER (PARTITION BY page_id, name ORDER BY idx) AS depth
+    FROM t WHERE name IN ({_NAMES})),
+  o AS MATERIALIZED (
+    SELECT page_id, idx, name,
+      coalesce((SELECT min(c.idx) FROM m c WHERE c.page_id = m.page_id AND c.name = m.name
+                AND c.kind = -1 AND c.idx > m.idx AND c.depth = m.depth - 1),
+               (SELECT min(c.idx) FROM m c WHERE c.page_id = m.page_id AND c.name = 'article'
+                AND c.kind = -1 AND c.idx > m.idx)) AS until
+    FROM m WHERE kind = 1),
+  x AS (SELECT page_id, idx, {trimmed(unescaped('tok'))} AS piece FROM t WHERE kind = 0),
+  b AS (SELECT o.page_id, o.idx, o.name AS tag,
+               {squeezed("string_agg(x.piece, '' ORDER BY x.idx)")} AS text
+        FROM o JOIN x ON x.page_id = o.page_id AND x.idx > o.idx AND x.idx < o.until
+        GROUP BY 1, 2, 3)
+  SELECT page_id, CAST(row_number() OVER (PARTITION BY page_id ORDER BY idx) - 1 AS BIGINT) AS pos,
+         tag, text FROM b WHERE text <> ''"""
+
+
 # Root-relative references only, as the stored pages hold them; fragments are cut.
 def edges(source: str = "pages") -> str:
     href = rf"regexp_extract_all({clean('html')}, '(?i)<a\s[^>]*href=\"([^\"]*)\"', 1)"
@@ -291,8 +324,17 @@ def all_oracles() -> dict[str, str]:
         + f", {word_count('text', ('the', 'of', 'and'))} AS all_count FROM documents",
         "norm_text": f"SELECT doc_id, {squeezed('text')} AS text FROM documents",
         "leaf_blocks": leaf_rows(),
+        "text_blocks": PAGE_BLOCKS,
+        "text_content": "SELECT page_id, CAST(length(t) AS BIGINT) AS chars, md5(t) AS digest FROM"
+        " (SELECT page_id, string_agg(text, ' ' ORDER BY pos) AS t"
+        f" FROM ({PAGE_BLOCKS}) GROUP BY page_id)",
         "text_block_headings": f"SELECT page_id, tag, text, count(*) AS n FROM ({leaf_rows()})"
         " GROUP BY ALL",
+        "dense_features": f"""
+          SELECT p.url, {url_columns('p.url')}, s.* EXCLUDE (page_id), {content_columns("coalesce(c.t, '')")}
+          FROM pages p JOIN ({structural('SELECT page_id, html FROM pages')}) s ON s.page_id = p.page_id
+          LEFT JOIN (SELECT page_id, string_agg(text, ' ' ORDER BY pos) AS t FROM ({PAGE_BLOCKS})
+                     GROUP BY page_id) c ON c.page_id = p.page_id""",
         "label_names": f"SELECT page_id, {label('url')} AS label,"
         f" CASE {label('url')} WHEN 1 THEN 'personal_blog' ELSE 'corporate_seo' END AS label_name,"
         f" CASE {label('url')} WHEN 1 THEN 'Personal Blog' ELSE 'Corporate Seo' END AS display_name"

@@ -19,6 +19,7 @@ from webstrata.operators import enrich, frontier, links, metrics, quality, seeds
 from webstrata.operators import vocabulary
 from webstrata.operators.checkpoints import fresh_folder
 from webstrata.plans import enrichment, scoring, training, url_list
+from webstrata.plans.stages import PageFeatures
 from webstrata.sources import sinks, tables
 from webstrata.streaming import ingest, progress
 
@@ -603,6 +604,13 @@ def stored_features(spark: SparkSession, folder: str, config: training.Training)
     return spark.read.parquet(path)
 
 
+@query
+def dense_features(spark, folder):
+    """The 15 dense features as the model's first stage computes them from the main table."""
+    rows = PageFeatures().transform(main_table(spark, folder))
+    return longs(rows.select("url", *training.DENSE))
+
+
 @query
 def feature_table(spark, folder):
     rows = training.feature_rows(main_table(spark, folder), SMALL)
