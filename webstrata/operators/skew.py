@@ -21,9 +21,8 @@ def limit_per_key(
     if salts > 1:
         local = Window.partitionBy(key, "_salt").orderBy(*order)
         kept = (
-            df.withColumn(
-                "_salt", F.pmod(F.xxhash64(*order) + F.spark_partition_id(), F.lit(salts))
-            )
+            df.withColumn("_salt", F.pmod(F.xxhash64(*order), F.lit(salts)) + F.spark_partition_id())
+            .withColumn("_salt", F.pmod("_salt", F.lit(salts)))
             .withColumn("_rank", F.row_number().over(local))
             .filter(F.col("_rank") <= bound)
             .drop("_salt")
