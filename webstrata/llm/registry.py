@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from webstrata.llm import chat, mixing, quality, url_filter
+from webstrata.llm import bpe, chat, mixing, quality, substrings, url_filter
 
 QUERIES = {
     "op1_source_mixing": mixing.query,
     "op2_url_filter": url_filter.query,
     "op3_chat_formatting": chat.query,
     "op6_quality_rules": quality.query,
+    "op7_bpe_round_trip": bpe.query,
+    "op10_substring_dedup": substrings.query,
 }
 
 
@@ -21,4 +23,5 @@ def oracle_sql() -> dict[str, str]:
         "op1_source_mixing": mixing.oracle(),
         "op3_chat_formatting": chat.ORACLE,
         "op6_quality_rules": quality.oracle(),
+        "op10_substring_dedup": substrings.ORACLE,
     }
