@@ -19,6 +19,9 @@ from __future__ import annotations
 
 import functools
 import json
+import re
+import sys
+import unicodedata
 import zlib
 from collections.abc import Iterator
 
@@ -59,10 +62,10 @@ def _specials(path: str) -> dict[str, int]:
 
 
 @functools.cache
-def _model(path: str):
+def _tokenizer(path: str):
     from tokenizers import Tokenizer
 
-    return Tokenizer.from_file(path).model
+    return Tokenizer.from_file(path)
 
 
 @functools.cache
@@ -81,9 +84,37 @@ def pieces(path: str) -> list[bytes]:
     return table
 
 
+@functools.cache
+def _unassigned():
+    """Finds characters that Python's Unicode tables do not assign."""
+    free = [c for c in range(sys.maxunicode + 1) if unicodedata.category(chr(c)) == "Cn"]
+    starts = [c for c, before in zip(free, [-2, *free]) if c != before + 1]
+    ends = [c for c, after in zip(free, [*free[1:], -2]) if c != after - 1]
+    spans = "".join(f"{chr(a)}-{chr(b)}" for a, b in zip(starts, ends, strict=True))
+    return re.compile(f"[{spans}]").search
+
+
+def _word_finder(path: str):
+    """Splits by the pattern. The regex module and the tokenizer know different versions of
+    Unicode, so a text with characters newer than Python's tables is split by the tokenizer."""
+    pattern, letters = regex.compile(PATTERN).findall, _letters()
+    byte = {c: b for b, c in enumerate(letters)}
+
+    def find(text: str) -> list[str]:
+        try:
+            text.encode("latin-1")
+        except UnicodeEncodeError:
+            if _unassigned()(text):
+                split = _tokenizer(path).pre_tokenizer.pre_tokenize_str(text)
+                return [bytes(map(byte.__getitem__, w)).decode() for w, _ in split]
+        return pattern(text)
+
+    return find
+
+
 def split_words(path: str):
     """A function that splits a text into its words and special tokens."""
-    find = regex.compile(PATTERN).findall
+    find = _word_finder(path)
     marks = sorted(_specials(path), key=len, reverse=True)
     if not marks:
         return find
@@ -102,7 +133,7 @@ def encode_word(word: str, path: str) -> list[int]:
     if special is not None:
         return [special]
     letters = _letters()
-    return [t.id for t in _model(path).tokenize("".join(letters[b] for b in word.encode()))]
+    return [t.id for t in _tokenizer(path).model.tokenize("".join(letters[b] for b in word.encode()))]
 
 
 def _pack_words(words: list[bytes]) -> bytes:
