@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from webstrata.llm import bpe, chat, mixing, quality, substrings, url_filter
+from webstrata.llm import bpe, chat, mixing, ngram_join, quality, substrings, url_filter
 
 QUERIES = {
     "op1_source_mixing": mixing.query,
@@ -10,6 +10,7 @@ QUERIES = {
     "op3_chat_formatting": chat.query,
     "op6_quality_rules": quality.query,
     "op7_bpe_round_trip": bpe.query,
+    "op9_ngram_jaccard_join": ngram_join.query,
     "op10_substring_dedup": substrings.query,
 }
 
@@ -23,5 +24,6 @@ def oracle_sql() -> dict[str, str]:
         "op1_source_mixing": mixing.oracle(),
         "op3_chat_formatting": chat.ORACLE,
         "op6_quality_rules": quality.oracle(),
-        "op10_substring_dedup": substrings.ORACLE,
+        "op9_ngram_jaccard_join": ngram_join.query,
+    "op10_substring_dedup": substrings.ORACLE,
     }
