@@ -24,6 +24,6 @@ def oracle_sql() -> dict[str, str]:
         "op1_source_mixing": mixing.oracle(),
         "op3_chat_formatting": chat.ORACLE,
         "op6_quality_rules": quality.oracle(),
-        "op9_ngram_jaccard_join": ngram_join.query,
-    "op10_substring_dedup": substrings.ORACLE,
+        "op9_ngram_jaccard_join": ngram_join.ORACLE,
+        "op10_substring_dedup": substrings.ORACLE,
     }
