@@ -2,7 +2,16 @@
 
 from __future__ import annotations
 
-from webstrata.llm import bpe, chat, mixing, ngram_join, quality, substrings, url_filter
+from webstrata.llm import (
+    bpe,
+    chat,
+    fingerprints,
+    mixing,
+    ngram_join,
+    quality,
+    substrings,
+    url_filter,
+)
 
 QUERIES = {
     "op1_source_mixing": mixing.query,
@@ -10,6 +19,7 @@ QUERIES = {
     "op3_chat_formatting": chat.query,
     "op6_quality_rules": quality.query,
     "op7_bpe_round_trip": bpe.query,
+    "op8_document_fingerprints": fingerprints.query,
     "op9_ngram_jaccard_join": ngram_join.query,
     "op10_substring_dedup": substrings.query,
 }
