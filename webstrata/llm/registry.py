@@ -5,11 +5,13 @@ from __future__ import annotations
 from webstrata.llm import (
     bpe,
     chat,
+    extraction,
     fingerprints,
     mixing,
     ngram_join,
     quality,
     substrings,
+    toxicity,
     url_filter,
 )
 
@@ -17,6 +19,8 @@ QUERIES = {
     "op1_source_mixing": mixing.query,
     "op2_url_filter": url_filter.query,
     "op3_chat_formatting": chat.query,
+    "op4_html_extraction": extraction.query,
+    "op5_toxicity": toxicity.query,
     "op6_quality_rules": quality.query,
     "op7_bpe_round_trip": bpe.query,
     "op8_document_fingerprints": fingerprints.query,
