@@ -37,6 +37,8 @@ from pyspark.sql import types as T
 from webstrata.llm import blocks
 
 MAX_PIECES = 1_000_000
+#: A block's words are Python strings, some twenty times its text.
+BLOCK_BYTES = 4 << 20
 # --- Fixed value: the pre-tokenizer's pattern of byte-level BPE ---
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
@@ -236,8 +238,13 @@ def _from_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 
-def encode(docs: DataFrame, path: str | None = None, limit: int = blocks.BLOCK_BYTES) -> DataFrame:
-    """``docs`` without ``text``, with ``ids``: little-endian unsigned 32-bit integers."""
+def encode(
+    docs: DataFrame, path: str | None = None, limit: int = BLOCK_BYTES, decoded: bool = False
+) -> DataFrame:
+    """``docs`` without ``text``, with ``ids``: little-endian unsigned 32-bit integers.
+
+    With ``decoded``, the ids are decoded again in the same task (see ``decode``).
+    """
     path = path or default_path()
     kept = docs.drop("text").schema
     made = docs.mapInArrow(
@@ -248,7 +255,11 @@ def encode(docs: DataFrame, path: str | None = None, limit: int = blocks.BLOCK_B
     answers = blocks.exchange(stored.select("block", "parts"), _encode_bucket(path))
     out = T.StructType([*kept.fields, T.StructField("ids", T.BinaryType())])
     joined = blocks.with_answers(stored.select("block", "data"), answers)
-    return joined.mapInArrow(_from_blocks, out)
+    if not decoded:
+        return joined.mapInArrow(_from_blocks, out)
+    out = out.add("decoded", T.StringType())
+    turned = _decoded(path)
+    return joined.mapInArrow(lambda batches: turned(_from_blocks(batches)), out)
 
 
 def _decoded(path: str):
@@ -273,7 +284,7 @@ def decode(encoded: DataFrame, path: str | None = None) -> DataFrame:
 
 def digests(docs: DataFrame, path: str | None = None) -> DataFrame:
     """``doc_id, n_tokens, ids_sha256, decoded_sha256`` of every document."""
-    both = decode(encode(docs.select("doc_id", "text"), path), path)
+    both = encode(docs.select("doc_id", "text"), path, decoded=True)
     return both.select(
         "doc_id",
         (F.length("ids") / 4).cast("long").alias("n_tokens"),
