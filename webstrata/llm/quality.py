@@ -125,9 +125,14 @@ def host_verdicts(ruled: DataFrame, host: str = "source") -> DataFrame:
     return rates.select(host, *kept, (worst >= HOST_LIMIT).alias("_rejected"))
 
 
-def judge(docs: DataFrame) -> DataFrame:
-    """Add the counts, ``base_failed`` and ``kept`` to every document."""
+def judge(docs: DataFrame, keep_text: bool = True) -> DataFrame:
+    """Add the counts, ``base_failed`` and ``kept`` to every document.
+
+    The counted rows are stored, with their text only if it is asked for: hosts and documents
+    are then judged without counting twice.
+    """
     ruled = with_rules(with_counts(docs))
+    ruled = stored(ruled if keep_text else ruled.drop("text"), "counted")
     hosts = stored(host_verdicts(ruled).select("source", "_rejected"), "host-verdicts")
     joined = join_lookup(ruled, hosts, "source", ["n_words", "word_chars", "n_symbols"])
     kept = ~F.col("base_failed") & ~F.coalesce("_rejected", F.lit(False))
@@ -141,7 +146,7 @@ OUT = ("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_
 
 def query(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "source")
-    return judge(docs).select(*OUT)
+    return judge(docs, keep_text=False).select(*OUT)
 
 
 def filter_sql(docs: str = "documents") -> str:
