@@ -8,8 +8,8 @@
    leader, the class whose shingles most classes hold; those that link form its group. A large
    group of near copies is thus compared once per member and no pairs within it are made.
 3. *Matrix.* For each group the union of its members' prefix shingles is stored, rarest first:
-   two classes that link share one of the first ``n - ceil(0.8 n) + 1``. Groups that share one
-   and fit in size are candidates; first their leaders are compared with the other group's members.
+   two classes that link share one (see ``_prefixes``). Groups that share one and fit in size are
+   candidates; first the larger one's leader is compared with the smaller one's members.
 4. *Open.* For those not connected by then, a query class's overlap with the whole union of the
    other group's shingles bounds its overlap with any member; only groups that reach 80 % are
    opened and their members with a common prefix shingle compared.
@@ -203,14 +203,13 @@ def link_classes(classes: DataFrame) -> DataFrame:
     links = stored(_linked(stars.select(F.col("cls").alias("a"), "b").distinct(), classes), "stars")
     grouped = _with_root(classes, links)
 
-    need = F.expr(f"({PERCENT} * n + 99) div 100")
-    rarest = F.expr("slice(toks, 1, cast(n - need + 1 - (n - size(toks)) as int))")
-    prefix = grouped.withColumn("need", need).select("cls", "n", "root", F.explode(rarest).alias("tok"))
-    matrix = prefix.groupBy("tok", "root").agg(F.min("n").alias("lo"), F.max("n").alias("hi"))
-    one = matrix.select("tok", F.col("root").alias("g"), F.col("lo").alias("lo_g"), F.col("hi").alias("hi_g"))
-    two = matrix.select("tok", F.col("root").alias("h"), F.col("lo").alias("lo_h"), F.col("hi").alias("hi_h"))
-    fits = (100 * F.col("hi_g") >= PERCENT * F.col("lo_h")) & (100 * F.col("hi_h") >= PERCENT * F.col("lo_g"))
-    groups = stored(one.join(two, "tok").filter("g < h").filter(fits).select("g", "h").distinct(), "groups")
+    prefix = _prefixes(grouped)
+    probe = prefix.groupBy("tok", "root").agg(F.min("n").alias("lo_h"), F.max("n").alias("hi_h"))
+    index = prefix.filter("short").groupBy("tok", "root").agg(F.min("n").alias("lo_g"), F.max("n").alias("hi_g"))
+    fits = (F.col("lo_g") <= F.col("hi_h")) & (100 * F.col("hi_g") >= PERCENT * F.col("lo_h"))
+    both = index.withColumnRenamed("root", "i").join(probe.withColumnRenamed("root", "p"), "tok")
+    groups = both.filter("i <> p").filter(fits).select(F.least("i", "p").alias("g"), F.greatest("i", "p").alias("h"))
+    groups = stored(groups.distinct(), "groups")
 
     # The smaller group of a pair queries the other one: first its leader, then, if need be, all.
     sizes = grouped.groupBy("root").agg(
@@ -245,13 +244,30 @@ def link_classes(classes: DataFrame) -> DataFrame:
     bound = queries.join(union, ["target", "tok"]).groupBy("cls", "n", "target").agg(F.count(F.lit(1)).alias("held"))
     opened = bound.filter(100 * F.col("held") >= PERCENT * F.col("n")).select(F.col("cls").alias("a"), "target")
     opened = stored(opened, "opened")
-    ask = prefix.select(F.col("cls").alias("a"), "tok").join(opened, "a")
-    held = prefix.select(F.col("root").alias("target"), "tok", F.col("cls").alias("b"))
-    pairs = ask.join(held, ["target", "tok"]).select("a", "b").distinct()
+    ask = prefix.select(F.col("cls").alias("a"), "tok", F.col("n").alias("n_a"), F.col("short").alias("s_a"))
+    held = prefix.select(
+        F.col("root").alias("target"), "tok", F.col("cls").alias("b"), F.col("n").alias("n_b"), F.col("short").alias("s_b")
+    )
+    meet = F.expr("s_a and n_a <= n_b or s_b and n_b <= n_a")
+    pairs = ask.join(opened, "a").join(held, ["target", "tok"]).filter(meet).select("a", "b").distinct()
     links = stored(links.union(_linked(pairs, classes)), "all-links")
     return _with_root(classes.select("cls"), links)
 
 
+def _prefixes(grouped: DataFrame) -> DataFrame:
+    """``cls, n, root, tok, short``: prefix shingles of each class, rarest first.
+
+    The larger set of a pair that links shares one of its first ``n - ceil(0.8 n) + 1`` with one
+    of the smaller set's first ``n - ceil(n 1.6 / 1.8) + 1``; those are marked ``short``.
+    """
+    longest = F.expr(f"n - ({PERCENT} * n + 99) div 100 + 1")
+    shortest = F.expr(f"n - ({2 * PERCENT} * n + {99 + PERCENT}) div {100 + PERCENT} + 1")
+    alone = F.expr("n - size(toks)")  # shingles of this class only come first
+    kept = F.slice("toks", F.lit(1), (longest - alone).cast("int"))
+    rows = grouped.select("cls", "n", "root", alone.alias("alone"), F.posexplode(kept).alias("at", "tok"))
+    return rows.withColumn("short", F.col("at") + F.col("alone") + 1 <= shortest).drop("at", "alone")
+
+
 def _with_root(classes: DataFrame, links: DataFrame) -> DataFrame:
     roots = components(links).withColumnRenamed("node", "cls").withColumnRenamed("root", "_root")
     found = classes.join(roots, "cls", "left")
