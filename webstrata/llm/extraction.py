@@ -25,6 +25,7 @@ import re
 from collections.abc import Iterator
 
 import pandas as pd
+import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -61,12 +62,26 @@ _WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
 
 class Element:
-    __slots__ = ("tag", "parent", "path", "dropped", "plain", "linked", "score", "head")
+    """A container: its place, a key of its path of labels, and its counts of characters."""
 
-    def __init__(self, tag: str, parent: Element | None, path: str, dropped: bool) -> None:
-        self.tag, self.parent, self.path, self.dropped = tag, parent, path, dropped
+    __slots__ = ("tag", "parent", "label", "key", "plain", "linked", "score")
+
+    def __init__(self, tag: str, parent: Element | None, label: str) -> None:
+        self.tag, self.parent, self.label = tag, parent, label
+        self.key = path_key(parent.key if parent else 0, label)
         self.plain = self.linked = self.score = 0
-        self.head = False
+
+    @property
+    def path(self) -> str:
+        labels, box = [], self
+        while box is not None and box.label:
+            labels.append(box.label)
+            box = box.parent
+        return ">".join(reversed(labels))
+
+
+def path_key(above: int, label: str) -> int:
+    return xxhash.xxh3_64_intdigest(f"{above}>{label}") if label else 0
 
 
 def _tag_end(page: str, at: int, closed: dict[str, int]) -> int:
@@ -114,7 +129,7 @@ def parse(page: str | None) -> tuple[list[Element], list[tuple[Element, str, boo
     A piece with an empty text marks the end of a block. The third part says if it is in a link.
     """
     page = page or ""
-    root = Element("", None, "", False)
+    root = Element("", None, "")
     stack: list[tuple[str, Element, bool, bool]] = [("", root, False, False)]
     opened: dict[str, int] = {}
     containers, pieces = [root], []
@@ -161,8 +176,6 @@ def parse(page: str | None) -> tuple[list[Element], list[tuple[Element, str, boo
                         break
             continue
         _, box, dropped, link = stack[-1]
-        if tag in ("h1", "h2", "h3", "h4", "h5", "h6"):
-            box.head = True
         if tag in VOID:
             continue
         names, hidden = "", False
@@ -171,12 +184,12 @@ def parse(page: str | None) -> tuple[list[Element], list[tuple[Element, str, boo
             for key, value in _ATTRIBUTE.findall(attributes):
                 key, value = key.lower(), value.strip("\"'")
                 if key in ("class", "id", "role"):
-                    names += f" {value}" if key != "class" else f" {value}"
+                    names += f" {value}"
                 elif key == "style":
                     hidden |= re.sub(r"\s", "", value.lower()).find("display:none") >= 0
                 elif key == "hidden" or value.lower() == "true":
                     hidden = True
-        inside = any(e[0] in ("article", "main") for e in stack) if tag == "header" or names else False
+        inside = bool(opened.get("article") or opened.get("main"))
         out = dropped or hidden or tag in DROPPED or (bool(names) and _boilerplate(tag, names, inside))
         out = out or (tag == "header" and not inside)
         if tag in RAW:
@@ -185,8 +198,8 @@ def parse(page: str | None) -> tuple[list[Element], list[tuple[Element, str, boo
         if tag in CONTAINERS and not out:
             label = tag
             for word in sorted(set(re.sub(r"\d+", "N", names).split())):
-                label += f".{word}"
-            box = Element(tag, box, f"{box.path}>{label}", False)
+                label += "." + word.replace(">", "")
+            box = Element(tag, box, label)
             containers.append(box)
         stack.append((tag, box, out, link or tag == "a"))
         opened[tag] = opened.get(tag, 0) + 1
@@ -255,7 +268,10 @@ def main_text(page: str | None, path: str | None) -> str:
     containers, pieces = parse(page)
     best = rate(containers, pieces)
     if path:
-        same = [box for box in containers if box.path == path and box.score > 0]
+        key = 0
+        for label in path.split(">"):
+            key = path_key(key, label)
+        same = [box for box in containers if box.key == key and box.score > 0]
         best = max(same, key=lambda box: box.score) if same else best
     return text_of(best, pieces)
 

@@ -122,7 +122,7 @@ def ranges(docs: DataFrame) -> list[float]:
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     shares = [i / parts for i in range(1, parts)] or [0.5]
     found = docs.agg(F.percentile_approx(F.col("doc_id").cast("double"), shares)).first()[0]
-    return [-math.inf, *sorted(set(found or [])), math.inf]
+    return [-math.inf, *sorted(set(found or [0.0])), math.inf]
 
 
 def with_range(docs: DataFrame, bounds: list[float]) -> DataFrame:

@@ -190,7 +190,7 @@ def taken_text(mixed: DataFrame) -> DataFrame:
     Words keep the blanks that follow them. Blocks taken at least ``n`` times are in the ``n``-th
     row; where all are, the text is left as it is.
     """
-    pieces = F.expr(rf"regexp_extract_all(text, '[^{BLANK}]+[{BLANK}]*', 0)")
+    pieces = F.regexp_extract_all("text", F.lit(f"[^{BLANK}]+[{BLANK}]*"), F.lit(0))
     copies = (
         "((place div {b} + 1) * _quota + _offset) div _blocks"
         " - ((place div {b}) * _quota + _offset) div _blocks"
