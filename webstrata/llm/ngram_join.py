@@ -5,8 +5,9 @@
    that hold each; one that a single class holds can be in no intersection. A class can link only
    if 80 % of its shingles are shared, which leaves the copies and near copies.
 2. *Groups.* Classes with a common least hash (four hash functions) are compared with one
-   leader, the class whose shingles most classes hold; those that link form its group. A large
-   group of near copies is thus compared once per member and no pairs within it are made.
+   leader, first the class whose shingles most classes hold, then in turn others by hash, unless
+   they are connected already; connected ones form a group. A large group of near copies is thus
+   compared a few times per member and no pairs within it are made.
 3. *Matrix.* For each group the union of its members' prefix shingles is stored, rarest first:
    two classes that link share one (see ``_prefixes``). Groups that share one and fit in size are
    candidates; first the larger one's leader is compared with the smaller one's members.
@@ -43,6 +44,8 @@ from webstrata.llm.substrings import WordHashes, mixed, powers
 SHINGLE = 5
 PERCENT = 80
 KEYS = 4
+#: How often the classes of a key are compared with a leader before groups are formed.
+TURNS = 3
 #: Shingle hashes keep their upper 48 bits, as differences of sorted ones then pack to 3.5 bytes.
 KEPT_BITS = np.uint64(((1 << 48) - 1) << 16)
 _STEP = 0x9E3779B97F4A7C15
@@ -167,7 +170,7 @@ def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 out["cls"].append(names[c])
                 out["n"].append(int(sizes[c]))
                 out["toks"].append(tokens)
-                out["weight"].append(int(times[own].sum() // found[c]))
+                out["weight"].append(int(times[own].sum() // sizes[c]))
                 out["keys"].append([int((mixed(tokens.view(np.uint64) + np.uint64(_STEP * (k + 1) % 2**64)) >> np.uint64(1)).min()) for k in range(KEYS)])
             yield pa.RecordBatch.from_pydict(out, _CLASSES)
 
@@ -195,20 +198,33 @@ def _linked(pairs: DataFrame, classes: DataFrame) -> DataFrame:
 
 def link_classes(classes: DataFrame) -> DataFrame:
     """``cls, root`` of the stored candidate classes: equal roots are one component."""
-    keyed = classes.select("cls", "weight", F.posexplode("keys").alias("slot", "key"))
-    strongest = F.max(F.struct("weight", "cls")).alias("lead")
-    leaders = keyed.groupBy("slot", "key").agg(strongest, F.count(F.lit(1)).alias("held"))
-    leaders = leaders.filter("held > 1").select("slot", "key", F.col("lead.cls").alias("b"))
-    stars = keyed.join(leaders, ["slot", "key"]).filter("cls <> b")
-    links = stored(_linked(stars.select(F.col("cls").alias("a"), "b").distinct(), classes), "stars")
-    grouped = _with_root(classes, links)
+    keyed = stored(classes.select("cls", "weight", F.posexplode("keys").alias("slot", "key")), "keys")
+    links, roots = None, classes.select("cls", F.col("cls").alias("root"))
+    for turn in range(TURNS):
+        rank = F.xxhash64("cls", "slot", F.lit(turn)) if turn else F.col("weight")
+        strongest = F.max(F.struct(rank.alias("rank"), "cls")).alias("lead")
+        leaders = keyed.groupBy("slot", "key").agg(strongest, F.count(F.lit(1)).alias("held"))
+        leaders = leaders.filter("held > 1").select("slot", "key", F.col("lead.cls").alias("b"))
+        stars = keyed.join(leaders, ["slot", "key"]).filter("cls <> b")
+        stars = stars.select(F.col("cls").alias("a"), "b").distinct()
+        apart = stars.join(roots.select(F.col("cls").alias("a"), F.col("root").alias("r")), "a").join(
+            roots.select(F.col("cls").alias("b"), F.col("root").alias("q")), "b"
+        )
+        found = _linked(apart.filter("r <> q").select("a", "b"), classes)
+        links = stored(found if links is None else links.union(found), "stars")
+        roots = _with_root(classes.select("cls"), links)
+    grouped = stored(classes.drop("keys").join(roots, "cls"), "grouped")
 
     prefix = _prefixes(grouped)
-    probe = prefix.groupBy("tok", "root").agg(F.min("n").alias("lo_h"), F.max("n").alias("hi_h"))
-    index = prefix.filter("short").groupBy("tok", "root").agg(F.min("n").alias("lo_g"), F.max("n").alias("hi_g"))
-    fits = (F.col("lo_g") <= F.col("hi_h")) & (100 * F.col("hi_g") >= PERCENT * F.col("lo_h"))
-    both = index.withColumnRenamed("root", "i").join(probe.withColumnRenamed("root", "p"), "tok")
-    groups = both.filter("i <> p").filter(fits).select(F.least("i", "p").alias("g"), F.greatest("i", "p").alias("h"))
+    sides = [F.min("n").alias("lo"), F.max("n").alias("hi"), F.max("reach").alias("reach")]
+    matrix = prefix.groupBy("tok", "root").agg(*sides)
+    one = matrix.select("tok", *[F.col(c).alias(f"{c}_g") for c in ("root", "lo", "hi", "reach")])
+    two = matrix.select("tok", *[F.col(c).alias(f"{c}_h") for c in ("root", "lo", "hi", "reach")])
+    fits = F.expr(
+        f"root_g < root_h and lo_h <= reach_g and lo_g <= reach_h"
+        f" and 100 * hi_g >= {PERCENT} * lo_h and 100 * hi_h >= {PERCENT} * lo_g"
+    )
+    groups = one.join(two, "tok").filter(fits).select(F.col("root_g").alias("g"), F.col("root_h").alias("h"))
     groups = stored(groups.distinct(), "groups")
 
     # The smaller group of a pair queries the other one: first its leader, then, if need be, all.
@@ -244,28 +260,29 @@ def link_classes(classes: DataFrame) -> DataFrame:
     bound = queries.join(union, ["target", "tok"]).groupBy("cls", "n", "target").agg(F.count(F.lit(1)).alias("held"))
     opened = bound.filter(100 * F.col("held") >= PERCENT * F.col("n")).select(F.col("cls").alias("a"), "target")
     opened = stored(opened, "opened")
-    ask = prefix.select(F.col("cls").alias("a"), "tok", F.col("n").alias("n_a"), F.col("short").alias("s_a"))
+    ask = prefix.select("tok", *[F.col(c).alias(d) for c, d in (("cls", "a"), ("n", "n_a"), ("reach", "r_a"))])
     held = prefix.select(
-        F.col("root").alias("target"), "tok", F.col("cls").alias("b"), F.col("n").alias("n_b"), F.col("short").alias("s_b")
-    )
-    meet = F.expr("s_a and n_a <= n_b or s_b and n_b <= n_a")
+        "tok", *[F.col(c).alias(d) for c, d in (("root", "target"), ("cls", "b"), ("n", "n_b"), ("reach", "r_b"))]
+    )
+    meet = F.expr("n_b <= r_a and n_a <= r_b")
     pairs = ask.join(opened, "a").join(held, ["target", "tok"]).filter(meet).select("a", "b").distinct()
     links = stored(links.union(_linked(pairs, classes)), "all-links")
     return _with_root(classes.select("cls"), links)
 
 
 def _prefixes(grouped: DataFrame) -> DataFrame:
-    """``cls, n, root, tok, short``: prefix shingles of each class, rarest first.
+    """``cls, n, root, tok, reach``: prefix shingles of each class, rarest first.
 
-    The larger set of a pair that links shares one of its first ``n - ceil(0.8 n) + 1`` with one
-    of the smaller set's first ``n - ceil(n 1.6 / 1.8) + 1``; those are marked ``short``.
+    A pair that links shares ``c = ceil(0.8 (n + m) / 1.8)`` shingles, so one of the first
+    ``n - c + 1`` of the one is among the first ``m - c + 1`` of the other. ``reach`` is the largest
+    ``m`` for which a shingle is among them; rows whose reach is below ``0.8 n`` are left out.
     """
-    longest = F.expr(f"n - ({PERCENT} * n + 99) div 100 + 1")
-    shortest = F.expr(f"n - ({2 * PERCENT} * n + {99 + PERCENT}) div {100 + PERCENT} + 1")
-    alone = F.expr("n - size(toks)")  # shingles of this class only come first
-    kept = F.slice("toks", F.lit(1), (longest - alone).cast("int"))
-    rows = grouped.select("cls", "n", "root", alone.alias("alone"), F.posexplode(kept).alias("at", "tok"))
-    return rows.withColumn("short", F.col("at") + F.col("alone") + 1 <= shortest).drop("at", "alone")
+    at = F.expr("n - size(toks)") + F.col("at")  # before it; those of this class only come first
+    whole = 100 + PERCENT
+    reach = F.floor((whole * (F.col("n") - at) - PERCENT * F.col("n")) / PERCENT)
+    rows = grouped.select("cls", "n", "root", "toks", F.posexplode("toks").alias("at", "tok"))
+    rows = rows.select("cls", "n", "root", "tok", reach.alias("reach"))
+    return rows.filter(100 * F.col("reach") >= PERCENT * F.col("n"))
 
 
 def _with_root(classes: DataFrame, links: DataFrame) -> DataFrame:
