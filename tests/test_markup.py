@@ -1,5 +1,8 @@
+import time
 from html.parser import HTMLParser
 
+import pytest
+
 from hypothesis import given, settings as hypothesis_settings, strategies as st
 from pyspark.sql import functions as F
 
@@ -143,3 +146,24 @@ PARTS = st.sampled_from(
 @hypothesis_settings(max_examples=400, deadline=None)
 def test_text_blocks_against_the_standard_parser(page):
     assert blocks.page_blocks(page) == SlowReader(page).blocks()
+
+
+@pytest.mark.parametrize("part", ["<a ", '<a b="', "<p x='", "<li>x", "<li a=", "</li ", "<script ", "<!", "<![CDATA[", "<"])
+def test_unclosed_markup_takes_linear_time(spark, part):
+    page = "<p>kept</p><a href='/x'>y</a>" + part * ((1 << 20) // len(part))
+    begin = time.perf_counter()
+    if part != "<li>x":  # nested items are blocks that hold all that follows
+        assert blocks.page_blocks(page)[0]["text"] == "kept"
+    assert time.perf_counter() - begin < 4
+    frame = spark.createDataFrame([(page,)], "html string")
+    begin = time.perf_counter()
+    row = markup.with_structural_features(frame).select(
+        "link_count", markup.hrefs(F.col("html")).alias("h"), markup.leaf_blocks(F.col("html"), "li").alias("b")
+    ).first()
+    assert time.perf_counter() - begin < 15
+    assert row["h"] == ["/x"]
+
+
+def test_a_tag_that_is_not_closed_is_text():
+    assert blocks.page_blocks('<p>a <b x="1') == [{"tag": "p", "text": 'a <b x="1'}]
+    assert blocks.page_blocks("<p>a</p") == [{"tag": "p", "text": "a</p"}]

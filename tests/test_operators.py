@@ -204,3 +204,18 @@ def test_completeness(rows):
 
 def test_checkpoint_folder_comes_from_the_session(spark):
     assert checkpoints.checkpoint_root(spark) == spark.conf.get("spark.checkpoint.dir")
+
+
+def test_quota_above_the_usual_bound(rows):
+    urls = [f"https://s.com/{i:02}" for i in range(60)]
+    seed = rows("domain string, url string, label int, max_links int", ("s.com", "https://s.com", 1, 50))
+    edges = rows("url string, links array<string>", ("https://s.com", urls))
+    assert frontier.expand(seed, edges).count() == 50
+
+
+def test_confusion_of_labels_with_gaps(rows):
+    pairs = rows("label int, prediction int", (0, 0), (0, 4), (1, 1), (3, 1), (3, 3), (None, 1))
+    found = {r["label"]: tuple(r)[1:] for r in metrics.confusion_matrix(pairs, "label", "prediction").collect()}
+    assert found == {0: (1, 0, 0, 1), 1: (0, 1, 0, 0), 3: (0, 1, 1, 0), 4: (0, 0, 0, 0)}
+    with pytest.raises(ValueError):
+        metrics.confusion_matrix(pairs, "label", "prediction", [0, 1, 3])

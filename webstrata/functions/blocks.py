@@ -18,6 +18,7 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 BLOCKS = "array<struct<tag:string,text:string>>"
 
+# --- Fixed values: HTML elements ---
 # Elements that close at once, and elements whose text belongs to no block.
 _VOID = frozenset(
     "area base br col embed hr img input keygen link menuitem meta param source track wbr "
@@ -28,13 +29,14 @@ _HIDDEN = frozenset(("template", "rt", "rp"))
 # Inside a tag, up to its ">": quotes protect only after an equals sign.
 _INSIDE = r"(?:[^>=]++|=\s*+(?:\"[^\"]*+\"|'[^']*+')?+)*+"
 # What lies between two text pieces: a comment, a whole script or style element, marked
-# text, a tag, or a declaration.
+# text, a tag, or a declaration. A tag that is not closed matches up to the end of the page, so
+# that nothing behind it is scanned again; it is text.
 _BREAK = re.compile(
     r"<(?:!--.*?(?:--!?>|\Z)"
-    rf"|(script|style)(?=[\s/>]){_INSIDE}(?<!/)>.*?(?:</\1(?=[\s/>])[^>]*+>|\Z)"
+    rf"|(script|style)(?=[\s/>]){_INSIDE}(?<!/)>.*?(?:</\1(?=[\s/>])[^>]*+(?:>|\Z)|\Z)"
     r"|!\[CDATA\[(?P<marked>.*?)\]\]>"
-    rf"|(?P<close>/?)(?P<name>[a-z][^\s/>]*+){_INSIDE}>"
-    r"|[!?/][^>]*+>)",
+    rf"|(?P<close>/?)(?P<name>[a-z][^\s/>]*+){_INSIDE}(?:>|(?P<cut>\Z))"
+    r"|[!?/][^>]*+(?:>|(?P<open>\Z)))",
     re.IGNORECASE | re.DOTALL,
 )
 _BARE_SLASH = re.compile(r"=\s*[^\s\"'>][^\s>]*/>\Z")
@@ -90,6 +92,8 @@ def page_blocks(
 
     at = 0
     for found in _BREAK.finditer(page):
+        if found["cut"] is not None or found["open"] is not None:
+            break
         keep(page[at : found.start()])
         at = found.end()
         name = found["name"]

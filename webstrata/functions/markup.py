@@ -17,9 +17,12 @@ from webstrata.functions import text as txt
 
 # Inside a start tag, up to its ">": quotes protect only after an equals sign.
 _INSIDE = r"(?:[^>=]++|=\s*+(?:\"[^\"]*+\"|'[^']*+')?+)*+"
+# A tag that is not closed reaches to the end of the page: it matches as well, by a branch of its
+# own, so that nothing behind it is scanned again.
 _SKIPPED = (
     r"(?is)<!--.*?(?:--!?>|\z)"
-    rf"|(<(script|style)(?=[\s/>]){_INSIDE}(?<!/)>).*?(?:</\2(?=[\s/>])[^>]*+>|\z)"
+    rf"|(<(script|style)(?=[\s/>]){_INSIDE}(?<!/)>).*?(?:</\2(?=[\s/>])[^>]*+(?:>|\z)|\z)"
+    rf"|<(?:script|style)(?=[\s/>]){_INSIDE}\z"
 )
 _VALUE = r"(?:\s*+=++\s*+(?:\"[^\"]*+\"|'[^']*+'|(?![\"'])\S*+))?+"
 
@@ -40,7 +43,7 @@ def start_tags(html: Column, *names: str) -> Column:
     attribute value of another tag is not counted.
     """
     wanted = "|".join(names)
-    pattern = rf"(?i)<(?:((?:{wanted})(?=[\s/>]){_INSIDE})|[a-z]{_INSIDE})>"
+    pattern = rf"(?i)<(?:((?:{wanted})(?=[\s/>]){_INSIDE})>|[a-z]{_INSIDE}(?:>|\z))"
     found = F.regexp_extract_all(without_raw_text(html), F.lit(pattern), F.lit(1))
     return F.filter(found, lambda tag: tag != "")
 
@@ -83,8 +86,8 @@ def unescape_each(values: Column) -> Column:
 
     def decode(piece: Column) -> Column:
         name = F.regexp_extract(piece, r"^([A-Za-z][A-Za-z0-9]*+);", 1)
-        decimal = F.regexp_extract(piece, r"^#([0-9]{1,7});", 1)
-        hexadecimal = F.regexp_extract(piece, r"^#[xX]([0-9A-Fa-f]{1,6});", 1)
+        decimal = F.regexp_extract(piece, r"^#0*+([0-9]{1,7});", 1)
+        hexadecimal = F.regexp_extract(piece, r"^#[xX]0*+([0-9A-Fa-f]{1,6});", 1)
         code = F.coalesce(
             F.conv(F.nullif(decimal, F.lit("")), 10, 10), F.conv(F.nullif(hexadecimal, F.lit("")), 16, 10)
         ).cast("int")
@@ -162,9 +165,13 @@ def hrefs(html: Column) -> Column:
 
 
 def leaf_blocks(html: Column, tag: str) -> Column:
-    """Texts of a tag that does not nest; each text piece is stripped, pieces are joined."""
-    pattern = rf"(?is)<{tag}(?=[\s/>]){_INSIDE}>(.*?)</{tag}(?=[\s/>])[^>]*+>"
+    """Texts of a tag that does not nest; each text piece is stripped, pieces are joined.
+
+    An element that is not closed ends with the page.
+    """
+    closing = rf"</{tag}(?=[\s/>])[^>]*+(?:>|\z)"
+    pattern = rf"(?is)<{tag}(?=[\s/>]){_INSIDE}(?:>(.*?)(?:{closing}|\z)|\z)"
     bodies = F.regexp_extract_all(without_raw_text(html), F.lit(pattern), F.lit(1))
-    inner_tag = rf"(?i){txt.SPACE}*+<[a-z/!]{_INSIDE}>{txt.SPACE}*+"
+    inner_tag = rf"(?i){txt.SPACE}*+<[a-z/!]{_INSIDE}(?:>|\z){txt.SPACE}*+"
     texts = unescape_each(F.transform(bodies, lambda b: F.regexp_replace(b, inner_tag, "")))
     return F.filter(F.transform(texts, txt.collapse_space), lambda t: t != "")

@@ -20,9 +20,14 @@ def label_by_domain(pages: DataFrame, seeds: DataFrame) -> DataFrame:
     return join_spread(pages, seeds.select("domain", "label"), "domain", ["url"])
 
 
+def one_label(url_list: DataFrame) -> DataFrame:
+    """``url, label``: each URL once, with the least label it is listed with."""
+    return url_list.groupBy("url").agg(F.min("label").alias("label"))
+
+
 def to_do(url_list: DataFrame, done: DataFrame) -> DataFrame:
     """URLs without a stored result."""
-    return url_list.dropDuplicates(["url"]).join(done.select("url"), "url", "left_anti")
+    return one_label(url_list).join(done.select("url"), "url", "left_anti")
 
 
 def served_as_html(pages: DataFrame) -> DataFrame:
@@ -33,7 +38,7 @@ def served_as_html(pages: DataFrame) -> DataFrame:
 def fetched(url_list: DataFrame, pages: DataFrame, how: str = "left") -> DataFrame:
     """``url, label, html``: the stored HTML of every listed URL, NULL where there is none.
 
-    ``pages`` has one row per URL (see ``one_capture``). With ``inner`` URLs without a page,
+    ``pages`` has one row per URL (see ``one_capture``), or its copies are listed each. With ``inner`` URLs without a page,
     which are not stored anyway, are left out, and Spark may filter pages before the shuffle.
     """
     return url_list.join(pages.select("url", "html"), "url", how)

@@ -7,7 +7,6 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from webstrata import settings
 from webstrata.operators.checkpoints import cut
 from webstrata.operators.skew import limit_per_key
 
@@ -52,18 +51,19 @@ def next_level(
 def expand(
     seeds: DataFrame,
     page_links: DataFrame,
-    bound: int = settings.MAX_LINKS,
+    bound: int | None = None,
     max_levels: int | None = None,
 ) -> DataFrame:
     """URL list ``domain, url, label, max_links, depth`` reached from one seed per domain.
 
     ``page_links`` has one row per page with its same-domain links. ``bound`` is the largest
-    ``max_links`` of a seed. A page that is not stored is listed but leads nowhere. The driver
+    ``max_links`` of a seed; without it, it is taken from the seeds. A page that is not stored is listed but leads nowhere. The driver
     only steps through the levels; every level is checkpointed, and at most ``bound`` levels
     are needed because each one that goes on adds a URL to a domain below its quota.
     """
     columns = ("domain", "url", "label", "max_links")
     levels = [cut(seeds.select(*columns, F.lit(0).alias("depth")).filter(F.col("max_links") > 0))]
+    bound = levels[0].agg(F.max("max_links")).first()[0] or 0 if bound is None else bound
     # Kept partitioned by URL, so that the join of each level moves only the frontier.
     lists = cut(shortest_lists(page_links, bound).repartition("url"))
     for depth in range(1, min(bound, max_levels or bound) + 1):

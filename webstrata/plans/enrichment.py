@@ -24,7 +24,7 @@ def run(
     answered with HTML count. With ``order`` a URL may have several captures, of which the
     first by that column is taken; without it ``pages`` has one row per URL.
     """
-    todo = enrich.to_do(url_list, done) if done is not None else url_list.dropDuplicates(["url"])
+    todo = enrich.to_do(url_list, done) if done is not None else enrich.one_label(url_list)
     source = enrich.served_as_html(pages) if served else pages
     if order:
         source = enrich.one_capture(source, order)

@@ -340,7 +340,7 @@ def run(
     fitted = fit_boosted(train, config, classes)
     save(whole_model(config, fitted), f"{out}/model")
     scored = fitted.transform(test).select("label", F.col("prediction").cast("int"))
-    matrix = metrics.confusion_matrix(scored, "label", "prediction", list(range(classes)))
+    matrix = metrics.confusion_matrix(scored, "label", "prediction")
     sinks.write_report(matrix, f"{out}/confusion")
     found = report(fitted.transform(test), multiclass=classes > 2)
     sinks.write_report(found, f"{out}/report")

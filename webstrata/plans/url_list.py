@@ -29,7 +29,7 @@ def seed_table(
 
 
 def url_list(
-    seed_rows: DataFrame, pages: DataFrame, bound: int = settings.MAX_LINKS, served: bool = False
+    seed_rows: DataFrame, pages: DataFrame, bound: int | None = None, served: bool = False
 ) -> DataFrame:
     """``url, label`` and level of every URL reached from the seeds over stored pages.
 

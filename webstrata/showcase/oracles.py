@@ -183,7 +183,7 @@ SEEDS = f"""
   FROM pages GROUP BY 1"""
 
 
-def expansion(edge_sql: str, seed_sql: str, levels: int) -> str:
+def expansion(edge_sql: str, seed_sql: str, levels: int, quota: int = settings.MAX_LINKS) -> str:
     """Level by level, each level within the domain's remaining quota."""
     steps = [
         f"e AS MATERIALIZED ({edge_sql})",
@@ -195,7 +195,7 @@ def expansion(edge_sql: str, seed_sql: str, levels: int) -> str:
             f"""l{i} AS MATERIALIZED (
             SELECT domain, url, {i} AS depth FROM (
               SELECT c.domain, c.url, row_number() OVER (PARTITION BY c.domain ORDER BY c.url) AS rn,
-                     {settings.MAX_LINKS} - q.used AS room
+                     {quota} - q.used AS room
               FROM (SELECT DISTINCT l.domain, e.dst_url AS url FROM l{i-1} l JOIN e ON e.src_url = l.url) c
               JOIN (SELECT domain, count(*) AS used FROM v{i-1} GROUP BY domain) q ON q.domain = c.domain
               WHERE NOT EXISTS (SELECT 1 FROM v{i-1} v WHERE v.url = c.url))
@@ -379,13 +379,18 @@ def all_oracles() -> dict[str, str]:
         "frontier_level1": f"SELECT domain, url, CAST(starts_with(domain, 'blog.') AS BIGINT) AS label"
         f" FROM ({expansion(edges(), SEEDS, 1)}) WHERE depth = 1",
         "frontier": "SELECT domain, url, CAST(starts_with(domain, 'blog.') AS BIGINT) AS label,"
-        f" CAST(depth AS BIGINT) AS depth FROM ({expansion(edges(), SEEDS, 4)})",
+        f" CAST(depth AS BIGINT) AS depth FROM ({expansion(edges(), SEEDS, settings.MAX_LINKS)})",
         "frontier_orders": "SELECT domain, url, CAST(depth AS BIGINT) AS depth"
         f" FROM ({expansion(ORDER_EDGES, ORDER_SEEDS, settings.MAX_LINKS)})",
+        "quota_above_bound": "SELECT domain, url, CAST(depth AS BIGINT) AS depth"
+        f" FROM ({expansion(ORDER_EDGES, ORDER_SEEDS, 40, 40)})",
         "enrich_join": LISTED_CHARS,
         "enriched_table": LISTED_CHARS,
         "ingest_stream": f"SELECT url, {label('url')} AS label, CAST(length(html) AS BIGINT) AS html_chars"
         " FROM pages WHERE html IS NOT NULL",
+        "ingest_restart": f"SELECT url, {label('url')} AS label,"
+        " CAST(length(html) + CASE WHEN page_id % 3 = 0 THEN 12 ELSE 0 END AS BIGINT) AS html_chars"
+        " FROM pages WHERE html IS NOT NULL",
         "fetch_status": f"""
           SELECT url, label, CASE WHEN p.html IS NULL THEN 'failed'
             WHEN regexp_matches({clean('p.html')}, '(?is)<li>.*?[^<>\\s].*?</li>') THEN 'success'
@@ -423,10 +428,14 @@ def all_oracles() -> dict[str, str]:
         " (SELECT count(*) FROM labels WHERE quality = k AND toxic = 0) AS pred_0,"
         " (SELECT count(*) FROM labels WHERE quality = k AND toxic = 1) AS pred_1"
         " FROM (SELECT unnest([0, 1]) AS k)",
+        "confusion_gaps": "WITH m AS (SELECT CASE WHEN doc_id % 5 = 0 THEN 3 ELSE quality END AS l,"
+        " CASE WHEN doc_id % 7 = 0 THEN 3 ELSE toxic * 2 END AS p FROM labels)"
+        " SELECT CAST(k AS BIGINT) AS label, "
+        + ", ".join(f"count(l) FILTER (l = k AND p = {c}) AS pred_{c}" for c in range(4))
+        + " FROM (SELECT unnest([0, 1, 2, 3]) AS k) LEFT JOIN m ON TRUE GROUP BY k",
         "rate_30s": "SELECT strftime(time_bucket(INTERVAL 30 SECONDS, ts), '%Y-%m-%d %H:%M:%S') AS start,"
         " count(*) AS n, round(count(*) / 30.0, 6) AS rate FROM events GROUP BY 1",
-        "rate_30s_stream": "SELECT strftime(b, '%Y-%m-%d %H:%M:%S') AS start, n, round(n / 30.0, 6) AS rate"
-        " FROM (SELECT time_bucket(INTERVAL 30 SECONDS, ts) AS b, count(*) AS n FROM events GROUP BY 1)"
-        " WHERE b + INTERVAL 30 SECONDS <= (SELECT max(ts) FROM events) - INTERVAL 1 MINUTE",
     }
+    found["tag_counts_broken"] = found["tag_counts"]
+    found["rate_30s_stream"] = found["rate_30s"]
     return found

@@ -211,6 +211,17 @@ def norm_text(spark, folder):
     )
 
 
+@query
+def tag_counts_broken(spark, folder):
+    """The same with tags at the end that are never closed: they count for nothing."""
+    html = F.concat("html", F.repeat(F.lit('<p x="<li '), 300))
+    return longs(
+        heavy_pages(spark, folder).select(
+            "page_id", *[markup.tag_count(html, t).alias(f"{t}_count") for t in ("li", "p", "b")]
+        )
+    )
+
+
 @query
 def text_blocks(spark, folder):
     parsed = heavy_pages(spark, folder).select("page_id", blocks.text_blocks(F.col("html")).alias("b"))
@@ -729,22 +740,47 @@ def rate_30s(spark, folder):
 
 @query
 def rate_30s_stream(spark, folder):
-    """The same from a stream: intervals that the watermark has closed."""
+    """The same from a stream, open intervals included."""
     out = fresh_folder(spark, "rates")
     schema = table(spark, folder, "events").schema
     stream = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(folder)
     timed = stream.withColumn("ts", F.col("ts").cast("timestamp"))
-    (
-        progress.rate_stream(timed)
-        .writeStream.format("parquet")
-        .option("path", out)
-        .option("checkpointLocation", fresh_folder(spark, "rates-state"))
-        .outputMode("append")
-        .trigger(availableNow=True)
-        .start()
-        .awaitTermination()
+    progress.start_rates(timed, out, fresh_folder(spark, "rates-state")).awaitTermination()
+    return _rates(progress.stored_rates(spark, out))
+
+
+@query
+def ingest_restart(spark, folder):
+    """Two ingests into one output, each with its own checkpoint; the second skips stored URLs."""
+    out = fresh_folder(spark, "ingest-twice")
+    captured = with_label(pages(spark, folder)).select("page_id", "url", "label", "html")
+    for turn, part in enumerate(("page_id % 3 <> 0", "page_id % 3 <> 1")):
+        source = fresh_folder(spark, "captures")
+        html = F.col("html") if turn == 0 else F.concat(F.col("html"), F.lit("<p>again</p>"))
+        captured.filter(part).select("url", "label", html.alias("html")).write.parquet(source)
+        stream = ingest.page_stream(spark, source)
+        ingest.start(stream, out, fresh_folder(spark, "ingest-state")).awaitTermination()
+    found = ingest.stored(spark, out)
+    return longs(found.select("url", "label", F.length("html_content").alias("html_chars")))
+
+
+@query
+def quota_above_bound(spark, folder):
+    """Seeds that ask for more than the usual number of links get them."""
+    source = order_pages(spark, folder)
+    seed_rows = page_seeds(source).withColumn("max_links", F.lit(40))
+    found = url_list.url_list(seed_rows, source)
+    return longs(found.select("domain", "url", "depth"))
+
+
+@query
+def confusion_gaps(spark, folder):
+    """Labels 0, 1, 3 and predictions 0, 2, 3: every class has a row and a column."""
+    marked = table(spark, folder, "labels").select(
+        F.expr("case when doc_id % 5 = 0 then 3 else quality end").alias("label"),
+        F.expr("case when doc_id % 7 = 0 then 3 else toxic * 2 end").alias("prediction"),
     )
-    return _rates(spark.read.schema("start timestamp, n long, rate double").parquet(out))
+    return longs(metrics.confusion_matrix(marked, "label", "prediction"))
 
 
 @query

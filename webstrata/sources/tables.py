@@ -43,8 +43,9 @@ def personal_sites(spark: SparkSession, path: str) -> DataFrame:
 
 
 def url_list(spark: SparkSession, path: str) -> DataFrame:
-    """``url, label`` of a URL list; rows with a missing value go."""
-    return spark.read.schema(URL_LIST).option("header", True).csv(path).dropna("any")
+    """``url, label`` of a URL list; rows with a missing value go, a label that is no integer fails."""
+    reader = spark.read.schema(URL_LIST).option("header", True).option("mode", "FAILFAST")
+    return reader.csv(path).dropna("any")
 
 
 def pages(spark: SparkSession, path: str) -> DataFrame:

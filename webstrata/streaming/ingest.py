@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -25,9 +27,26 @@ def page_stream(
     return reader.parquet(path)
 
 
+def _exists(spark: SparkSession, path: str) -> bool:
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(place)
+
+
 def stored(spark: SparkSession, out: str) -> DataFrame:
-    """All stored rows with their ``batch``."""
-    return spark.read.schema(f"{tables.ENRICHED}, batch long").parquet(out)
+    """All stored rows with the ``run`` and ``batch`` that stored them."""
+    schema = f"{tables.ENRICHED}, run string, batch long"
+    if not _exists(spark, out):
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).parquet(out)
+
+
+def run_id(spark: SparkSession, checkpoint: str) -> str:
+    """Name of the runs that share a checkpoint; kept inside it, so a new one has a new name."""
+    path = f"{checkpoint}/run-id"
+    if not _exists(spark, path):
+        name = spark.createDataFrame([(uuid.uuid4().hex,)], "value string").coalesce(1)
+        name.write.mode("overwrite").text(path)
+    return spark.read.text(path).first()["value"]
 
 
 def start(
@@ -38,21 +57,23 @@ def start(
 ) -> StreamingQuery:
     """Process what is there and stop; a later start goes on from the checkpoint.
 
-    Batch n is written to ``batch=n``, overwriting what a failed attempt may have left, so a
-    replayed batch stores nothing twice. URLs of other batches are skipped, failed captures
-    are not stored and may come again.
+    Batch n is written to ``run=<checkpoint's name>/batch=n``, overwriting what a failed attempt
+    may have left, so a replayed batch stores nothing twice. URLs of all other stored batches, of
+    whatever run, are skipped: with a new or lost checkpoint the work resumes from the output
+    itself. Failed captures are not stored and may come again.
     """
+    run = run_id(captures.sparkSession, checkpoint)
 
     def store(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
         one = F.min_by(F.struct("label", "html"), F.md5("html"))
         rows = batch.filter(F.col("html").isNotNull()).groupBy("url").agg(one.alias("c"))
         rows = rows.select("url", "c.*")
-        if number > 0:
-            done = stored(spark, out).filter(F.col("batch") < number)
-            rows = rows.join(done.select("url"), "url", "left_anti")
+        own = (F.col("run") == run) & (F.col("batch") == number)
+        done = stored(spark, out).filter(~own)
+        rows = rows.join(done.select("url"), "url", "left_anti")
         kept = enrich.usable(enrich.enrich(rows))
-        sinks.append_pages(kept, f"{out}/batch={number}", rows_per_file, mode="overwrite")
+        sinks.append_pages(kept, f"{out}/run={run}/batch={number}", rows_per_file, mode="overwrite")
 
     return (
         captures.writeStream.foreachBatch(store)
