@@ -1,8 +1,8 @@
 """Step 3: features, models, evaluation and artifacts.
 
-Boosted trees in Spark keep every column of a row as a dense bin number, so they do not see
-all 65,551 columns: they get the 15 dense features and the ``keep`` hashed columns that
-separate the labels best. Logistic regression takes the whole sparse vector.
+Every model sees all columns: hashed text, URL, structural and content features. Boosted trees in
+Spark keep a row's columns as dense bin numbers, four bytes each, so ``buckets`` decides how
+much memory a row takes there. Logistic regression takes the sparse vector.
 """
 
 from __future__ import annotations
@@ -17,7 +17,6 @@ from pyspark.ml.feature import (
     HashingTF,
     Normalizer,
     StopWordsRemover,
-    UnivariateFeatureSelector,
     VectorAssembler,
 )
 from pyspark.ml.functions import vector_to_array
@@ -42,7 +41,7 @@ class Training:
     buckets: int = settings.HASH_BUCKETS
     ngrams: tuple[int, int] = settings.WORD_NGRAMS
     stop_words: tuple[str, ...] | None = None  # None: Spark's English list
-    keep: int = 256
+    vocabulary: int = settings.WORD_VOCABULARY  # of the content-only model
     rounds: int = settings.BOOSTING["rounds"]
     step_size: float = settings.BOOSTING["step_size"]
     depth: int = 5  # 32 leaves at most; trees grow level by level
@@ -99,7 +98,7 @@ def widths(features: DataFrame) -> dict[str, int]:
     }
 
 
-def boosted(config: Training, column: str = "boost_vec") -> GBTClassifier:
+def boosted(config: Training, column: str = "features") -> GBTClassifier:
     return GBTClassifier(
         featuresCol=column,
         labelCol="label",
@@ -125,7 +124,7 @@ def best_round(losses: list[float], patience: int) -> int:
     return best + 1
 
 
-def fit_trees(rows: DataFrame, config: Training, classes: int, column: str = "boost_vec"):
+def fit_trees(rows: DataFrame, config: Training, classes: int, column: str = "features"):
     """Boosted trees over ``column``, stopped early on the log-loss of the validation rows.
 
     Rounds depend on earlier ones only and the seed is fixed, so fitting again with fewer
@@ -145,14 +144,6 @@ def fit_trees(rows: DataFrame, config: Training, classes: int, column: str = "bo
     return model if keep == config.rounds else trees.setMaxIter(keep).fit(train)
 
 
-def selector(config: Training, column: str, out: str) -> UnivariateFeatureSelector:
-    chosen = UnivariateFeatureSelector(
-        featuresCol=column, outputCol=out, labelCol="label", selectionMode="numTopFeatures"
-    )
-    chosen.setFeatureType("continuous").setLabelType("categorical")
-    return chosen.setSelectionThreshold(config.keep)
-
-
 def split_parts(rows: DataFrame, key: str, config: Training) -> tuple[DataFrame, DataFrame]:
     """(train with ``is_validation``, test)."""
     parted = split.with_parts(rows, key, config.test_share, config.validation_share)
@@ -163,14 +154,11 @@ def split_parts(rows: DataFrame, key: str, config: Training) -> tuple[DataFrame,
 
 
 def fit_boosted(features: DataFrame, config: Training, classes: int) -> PipelineModel:
-    """Fit on stored feature rows (with ``is_validation``)."""
-    chosen = selector(config, "text_vec", "text_top").fit(features)
-    joined = VectorAssembler(inputCols=["text_top", *DENSE], outputCol="boost_vec")
-    vectors = joined.transform(chosen.transform(features))
-    vectors = vectors.select("label", "is_validation", "boost_vec").persist()
-    trees = fit_trees(vectors, config, classes)
+    """Fit on all columns of stored feature rows (with ``is_validation``)."""
+    vectors = features.select("label", "is_validation", "features").persist()
+    trees = fit_trees(vectors, config, classes, "features")
     vectors.unpersist()
-    return PipelineModel(stages=[chosen, joined, trees])
+    return PipelineModel(stages=[trees])
 
 
 def fit_linear(
@@ -221,16 +209,14 @@ def fit_tfidf(
 
 
 def fit_content_only(train: DataFrame, config: Training) -> tuple[PipelineModel, list[str]]:
-    """Word TF-IDF (``text_content``) and boosted trees over its ``keep`` best columns."""
+    """Word TF-IDF (``text_content``) and boosted trees over all its columns."""
     low, high = config.ngrams
     ngrams = WordNgrams(low=low, high=high, stopWords=config.words())
-    tfidf, names = fit_tfidf(train, ngrams, settings.WORD_VOCABULARY)
+    tfidf, names = fit_tfidf(train, ngrams, config.vocabulary)
     vectors = tfidf.transform(train).select("label", "is_validation", "tfidf").persist()
-    chosen = selector(config, "tfidf", "boost_vec").fit(vectors)
-    trees = fit_trees(chosen.transform(vectors), config, classes=2)
+    trees = fit_trees(vectors, config, 2, "tfidf")
     vectors.unpersist()
-    kept = [names[i] for i in chosen.selectedFeatures]
-    return PipelineModel(stages=[*tfidf.stages, chosen, trees]), kept
+    return PipelineModel(stages=[*tfidf.stages, trees]), names
 
 
 def fit_url_only(train: DataFrame, config: Training) -> tuple[PipelineModel, list[str]]:

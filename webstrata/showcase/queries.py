@@ -27,7 +27,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 STOP_WORDS = ("the", "of", "and", "to", "in", "la", "le", "de", "der", "die", "el", "los")
 SHORT_PAGE = 2000
-SMALL = training.Training(keep=64, rounds=8, linear_rounds=25)
+SMALL = training.Training(buckets=64, rounds=8, linear_rounds=25)
 
 _QUERIES: dict[str, Query] = {}
 
@@ -661,19 +661,18 @@ def _labelled_documents(spark: SparkSession, folder: str) -> DataFrame:
 
 @query
 def multiclass_report(spark, folder):
-    config = training.Training(keep=32, rounds=3, min_leaf_rows=1)
+    config = training.Training(buckets=48, rounds=3, min_leaf_rows=1)
     rows = _labelled_documents(spark, folder).withColumn("label", F.col("quality") + 2 * F.col("toxic"))
     for stage in training.hashed_text(config):
         rows = stage.transform(rows)
     train, test = training.split_parts(rows.select("key", "label", "text_vec"), "key", config)
     classes = split.require_classes(train)
-    chosen = training.selector(config, "text_vec", "boost_vec").fit(train)
-    model = training.fit_trees(chosen.transform(train), config, max(classes, 3))
-    return training.report(model.transform(chosen.transform(test)), multiclass=True)
+    model = training.fit_trees(train, config, max(classes, 3), "text_vec")
+    return training.report(model.transform(test), multiclass=True)
 
 
 def _content_only(spark: SparkSession, folder: str):
-    config = training.Training(keep=128, rounds=5, min_leaf_rows=5)
+    config = training.Training(vocabulary=200, rounds=12, step_size=0.3, min_leaf_rows=3)
     rows = _labelled_documents(spark, folder).withColumn("label", F.col("quality"))
     train, test = training.split_parts(rows.select("key", "label", "text_content"), "key", config)
     return training.fit_content_only(train, config), test
