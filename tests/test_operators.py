@@ -219,3 +219,20 @@ def test_confusion_of_labels_with_gaps(rows):
     assert found == {0: (1, 0, 0, 1), 1: (0, 1, 0, 0), 3: (0, 1, 1, 0), 4: (0, 0, 0, 0)}
     with pytest.raises(ValueError):
         metrics.confusion_matrix(pairs, "label", "prediction", [0, 1, 3])
+
+
+def test_levels_do_not_move_the_links(spark, rows):
+    edges = rows("url string, links array<string>", *[(f"u{i}", [f"u{i + 1}"]) for i in range(50)])
+    lists = checkpoints.bucketed(frontier.shortest_lists(edges, 5), "url", "links")
+    start = rows("domain string, url string, label int, max_links int", ("d", "u0", 1, 5))
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        level = frontier.next_level(start, start, lists, 5, 1)
+        plan = level._jdf.queryExecution().executedPlan().toString()
+        assert [r["url"] for r in level.collect()] == ["u1"]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    above = plan[: plan.index("Bucketed: true")].split("\n")
+    join = max(i for i, line in enumerate(above) if "Join" in line)
+    assert not any("Exchange" in line for line in above[join:])

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from webstrata.operators.checkpoints import cut
+from webstrata.operators.checkpoints import bucketed, cut
 from webstrata.operators.skew import limit_per_key
 
 
@@ -64,8 +64,8 @@ def expand(
     columns = ("domain", "url", "label", "max_links")
     levels = [cut(seeds.select(*columns, F.lit(0).alias("depth")).filter(F.col("max_links") > 0))]
     bound = levels[0].agg(F.max("max_links")).first()[0] or 0 if bound is None else bound
-    # Kept partitioned by URL, so that the join of each level moves only the frontier.
-    lists = cut(shortest_lists(page_links, bound).repartition("url"))
+    # Stored in buckets of the URL, so that the join of each level moves only the frontier.
+    lists = bucketed(shortest_lists(page_links, bound), "url", "page-links")
     for depth in range(1, min(bound, max_levels or bound) + 1):
         visited = reduce(DataFrame.unionByName, levels)
         level = cut(next_level(visited, levels[-1], lists, bound, depth))

@@ -12,15 +12,12 @@ from dataclasses import asdict, dataclass
 from pyspark.ml import Pipeline, PipelineModel, Transformer
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, OneVsRest
 from pyspark.ml.feature import (
-    CountVectorizerModel,
-    ElementwiseProduct,
     HashingTF,
     Normalizer,
     StopWordsRemover,
     VectorAssembler,
 )
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.linalg import Vectors
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -199,13 +196,8 @@ def fit_tfidf(
         "term", vocabulary.smooth_idf(total.scalar(), F.col("df")).alias("idf")
     )
     found = sorted((r["term"], r["idf"]) for r in top.collect())
-    names = [term for term, _ in found]
-    counts = CountVectorizerModel.from_vocabulary(names, inputCol="terms", outputCol="_counts")
-    scale = ElementwiseProduct(
-        scalingVec=Vectors.dense([idf for _, idf in found]), inputCol="_counts", outputCol="_scaled"
-    )
-    unit = Normalizer(inputCol="_scaled", outputCol="tfidf", p=2.0)
-    return PipelineModel(stages=[ngrams, counts, scale, unit]), names
+    stages = [ngrams, *vocabulary.tfidf_stages(found, "terms", "tfidf")]
+    return PipelineModel(stages=stages), [term for term, _ in found]
 
 
 def fit_content_only(train: DataFrame, config: Training) -> tuple[PipelineModel, list[str]]:
