@@ -87,5 +87,5 @@ def test_decision_rule_and_names(rows):
 def test_keys(rows):
     assert keys.config_key({"b": 1, "a": 2}) == keys.config_key({"a": 2, "b": 1})
     assert len(keys.config_key({})) == 12
-    row = rows("a int", (1,)).select(keys.fingerprint(F.col("a")), keys.run_id("abcdefghi")).first()
+    row = rows("a int", (1,)).select(keys.fingerprint("a"), keys.run_id("abcdefghi")).first()
     assert len(row[0]) == 12 and re.fullmatch(r"\d{8}_\d{6}_abcdefg", row[1])

@@ -15,9 +15,10 @@ def hash_fraction(key: Column) -> Column:
     return F.conv(F.substring(F.md5(key), 1, 8), 16, 10).cast("long") / F.lit(4294967296.0)
 
 
-def fingerprint(*columns: Column) -> Column:
-    """First 12 hex digits of SHA-256 over the JSON of the columns."""
-    return F.substring(F.sha2(F.to_json(F.struct(*columns)), 256), 1, 12)
+def fingerprint(*names: str) -> Column:
+    """First 12 hex digits of SHA-256 over the JSON of the columns, sorted by name, NULLs kept."""
+    row = F.to_json(F.struct(*sorted(names)), {"ignoreNullFields": "false"})
+    return F.substring(F.sha2(row, 256), 1, 12)
 
 
 def config_key(config: dict[str, Any]) -> str:

@@ -306,6 +306,13 @@ def all_oracles() -> dict[str, str]:
         f" ELSE 'https://' || {bare} END AS url FROM pages",
         "domain": f"SELECT page_id, {dom('url')} AS domain FROM pages",
         "url_features": f"SELECT page_id, {url_columns('url')} FROM pages",
+        "url_features_invalid": f"SELECT page_id, {url_columns('url')} FROM (SELECT page_id,"
+        " CASE page_id % 4 WHEN 2 THEN 'a.com/x/y' ELSE url END AS url FROM pages WHERE page_id % 4 > 1)"
+        " UNION ALL SELECT page_id, 0, 0, 0, 0, 0, 0 FROM pages WHERE page_id % 4 < 2",
+        "structural_features_null": structural("SELECT page_id, html FROM pages WHERE page_id % 5 <> 0")
+        + " UNION ALL SELECT page_id, 0, 0, 0, 0, 0, 0 FROM pages WHERE page_id % 5 = 0",
+        "fetch_status_null": "SELECT url, 'failed' AS status, CAST(NULL AS VARCHAR) AS html_content"
+        " FROM pages WHERE page_id % 5 = 0",
         "url_features_marked": f"SELECT page_id, {url_columns('url')} FROM ({MARKED_URLS})",
         "suffix_flags": f"SELECT page_id, CAST(ends_with({dom('url')}, '.net') OR"
         f" ends_with({dom('url')}, '.org') AS BIGINT) AS flag FROM pages",
@@ -345,6 +352,9 @@ def all_oracles() -> dict[str, str]:
         " FROM (SELECT event_id, (user_id % 101) / CAST(100 AS DOUBLE) AS p FROM events)",
         "fingerprint": "SELECT doc_id, substr(sha256('{\"doc_id\":' || doc_id || ',\"quality\":' ||"
         " quality || ',\"toxic\":' || toxic || '}'), 1, 12) AS key FROM labels",
+        "fingerprint_nulls": "SELECT doc_id, substr(sha256('{\"doc_id\":' || doc_id || ',\"quality\":' ||"
+        " coalesce(quality::VARCHAR, 'null') || ',\"toxic\":' || coalesce(toxic::VARCHAR, 'null') || '}'), 1, 12) AS key"
+        " FROM documents LEFT JOIN labels USING (doc_id)",
         "dropna": "SELECT d.doc_id, d.lang, CAST(l.quality AS BIGINT) AS quality,"
         " CAST(l.toxic AS BIGINT) AS toxic FROM documents d LEFT JOIN labels l USING (doc_id)"
         " WHERE l.quality IS NOT NULL",
@@ -370,6 +380,11 @@ def all_oracles() -> dict[str, str]:
         " round(count(*) / (SELECT count(*) FROM labels), 6) AS share,"
         " (SELECT count(DISTINCT quality) FROM labels) AS classes FROM labels GROUP BY quality",
         "links": f"SELECT src_url, dst_url FROM ({edges()})",
+        "links_marked": f"SELECT src_url, dst_url FROM ({edges()})"
+        " UNION SELECT url, 'https://elsewhere.test/p' FROM pages",
+        "same_domain_links_marked": f"SELECT * FROM ({edges()}) WHERE {dom('dst_url')} = domain",
+        "served_marked": "SELECT page_id, CASE page_id % 3 WHEN 0 THEN 'text/html; charset=utf-8' ELSE 'text/html' END"
+        " AS content_type FROM pages WHERE page_id % 4 IN (0, 2) AND page_id % 3 <> 1",
         "same_domain_links": f"SELECT * FROM ({edges()}) WHERE {dom('dst_url')} = domain",
         "quota_pages": f"SELECT page_id, domain, url FROM (SELECT page_id, {dom('url')} AS domain, url,"
         f" row_number() OVER (PARTITION BY {dom('url')} ORDER BY url) AS rn FROM pages)"
@@ -436,6 +451,7 @@ def all_oracles() -> dict[str, str]:
         "rate_30s": "SELECT strftime(time_bucket(INTERVAL 30 SECONDS, ts), '%Y-%m-%d %H:%M:%S') AS start,"
         " count(*) AS n, round(count(*) / 30.0, 6) AS rate FROM events GROUP BY 1",
     }
+    found["std_url_blanks"] = found["std_url"]
     found["tag_counts_broken"] = found["tag_counts"]
     found["rate_30s_stream"] = found["rate_30s"]
     return found

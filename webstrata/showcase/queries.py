@@ -144,6 +144,29 @@ def url_features(spark, folder):
     return longs(urls.with_url_features(pages(spark, folder).select("page_id", "url")).drop("url"))
 
 
+@query
+def url_features_invalid(spark, folder):
+    """URLs that are NULL, no URLs, or without a scheme."""
+    part = F.col("page_id") % 4
+    url = F.when(part == 0, "http://[abc").when(part == 2, "a.com/x/y").when(part == 3, F.col("url"))
+    return longs(urls.with_url_features(pages(spark, folder).select("page_id", url.alias("url"))).drop("url"))
+
+
+@query
+def structural_features_null(spark, folder):
+    """Every fifth page has no HTML."""
+    html = F.when(F.col("page_id") % 5 != 0, F.col("html"))
+    source = heavy_pages(spark, folder).select("page_id", html.alias("html"))
+    return longs(markup.with_structural_features(source).drop("html"))
+
+
+@query
+def fetch_status_null(spark, folder):
+    html = F.when(F.col("page_id") % 5 != 0, F.col("html"))
+    listed = heavy_pages(spark, folder).select("url", F.lit(1).alias("label"), html.alias("html"))
+    return enrich.enrich(listed).filter("status = 'failed'").select("url", "status", "html_content")
+
+
 @query
 def url_features_marked(spark, folder):
     return longs(urls.with_url_features(marked_urls(spark, folder)).drop("url"))
@@ -289,10 +312,18 @@ def decide(spark, folder):
 @query
 def fingerprint(spark, folder):
     return table(spark, folder, "labels").select(
-        "doc_id", keys.fingerprint(F.col("doc_id"), F.col("quality"), F.col("toxic")).alias("key")
+        "doc_id", keys.fingerprint("toxic", "doc_id", "quality").alias("key")
     )
 
 
+@query
+def fingerprint_nulls(spark, folder):
+    """Documents without labels: a missing value counts."""
+    documents = table(spark, folder, "documents").select("doc_id")
+    rows = documents.join(table(spark, folder, "labels"), "doc_id", "left")
+    return rows.select("doc_id", keys.fingerprint("doc_id", "toxic", "quality").alias("key"))
+
+
 @query
 def dropna(spark, folder):
     documents = table(spark, folder, "documents").select("doc_id", "lang")
@@ -377,6 +408,47 @@ def links_(spark, folder):
     return links.links(heavy_pages(spark, folder))
 
 
+ANCHORS = (
+    '<a href="#c">c</a><a href="mailto:a@b.test">m</a><a href="tel:1">t</a>'
+    '<a href="https://elsewhere.test/p#f">e</a>'
+)
+
+
+def _anchored(spark: SparkSession, folder: str) -> DataFrame:
+    """Pages that begin with in-page, mail, phone and foreign links."""
+    return heavy_pages(spark, folder).withColumn("html", F.concat(F.lit(ANCHORS), "html"))
+
+
+@query
+def links_marked(spark, folder):
+    return links.links(_anchored(spark, folder))
+
+
+@query
+def same_domain_links_marked(spark, folder):
+    return links.same_domain_links(_anchored(spark, folder))
+
+
+@query
+def served_marked(spark, folder):
+    """Captures of several statuses and content types."""
+    part, kind = F.col("page_id") % 4, F.col("page_id") % 3
+    captured = pages(spark, folder).select(
+        "page_id",
+        F.when(part == 0, 200).when(part == 1, 404).when(part == 2, 301).alias("status"),
+        F.when(kind == 0, "text/html; charset=utf-8").when(kind == 1, "application/pdf").otherwise("text/html")
+        .alias("content_type"),
+    )
+    return enrich.served_as_html(captured).select("page_id", "content_type")
+
+
+@query
+def std_url_blanks(spark, folder):
+    """URLs with blanks around them."""
+    padded = F.concat(F.lit(" \t"), F.regexp_replace("url", "^https://", ""), F.lit("  \n"))
+    return pages(spark, folder).select("page_id", urls.standardize(text.strip(padded)).alias("url"))
+
+
 @query
 def same_domain_links(spark, folder):
     return links.same_domain_links(heavy_pages(spark, folder))
@@ -625,8 +697,7 @@ def dense_features(spark, folder):
 @query
 def feature_table(spark, folder):
     rows = training.feature_rows(main_table(spark, folder), SMALL)
-    shape = "features struct<size:int,indices:array<int>,values:array<double>>"
-    vector = F.from_json(F.to_json(F.struct("features")), shape)["features"]
+    vector = F.unwrap_udt("features")
     pairs = F.arrays_zip(vector["indices"].alias("i"), vector["values"].alias("v"))
     text_part = F.filter(pairs, lambda p: p["i"] < SMALL.buckets)
     norm = F.aggregate(text_part, F.lit(0.0), lambda s, p: s + p["v"] * p["v"])
