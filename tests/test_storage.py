@@ -10,7 +10,7 @@ from webstrata.sources import sinks, tables
 from webstrata.streaming import ingest, progress
 from webstrata.streaming import scoring as stream_scoring
 
-TINY = training.Training(buckets=64, rounds=3, linear_rounds=10, min_leaf_rows=2)
+TINY = training.Training(buckets=256, rounds=3, linear_rounds=10, min_leaf_rows=2)
 
 
 def test_csv_lists(spark, rows, tmp_path):

@@ -8,7 +8,7 @@ from webstrata.sources import sinks, tables
 from webstrata.operators import quality
 from webstrata.showcase import queries
 
-CONFIG = training.Training(buckets=64, rounds=3, min_leaf_rows=1)
+CONFIG = training.Training(buckets=256, rounds=3, min_leaf_rows=1)
 
 
 def test_seed_files_to_scores(spark, folder, tmp_path):
