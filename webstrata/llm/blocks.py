@@ -21,12 +21,12 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import zstandard
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from webstrata.operators.checkpoints import fresh_folder
 
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 4 << 20
 PART = "struct<bucket:int,blob:binary>"
 
 
@@ -115,12 +115,24 @@ def bucket_count(df: DataFrame) -> int:
 
 def store(df: DataFrame, name: str) -> DataFrame:
     """``df`` with its ``block`` stored in a table bucketed by it."""
-    spark = df.sparkSession
-    folder = fresh_folder(spark, name)
-    table = folder.rsplit("/", 1)[1].replace("-", "_")
+    return store_at(df, fresh_folder(df.sparkSession, name))
+
+
+def store_at(df: DataFrame, folder: str) -> DataFrame:
     writer = df.write.bucketBy(bucket_count(df), "block").option("path", folder)
-    writer.saveAsTable(table)
-    return spark.table(table)
+    writer.saveAsTable(_table(folder))
+    return df.sparkSession.table(_table(folder))
+
+
+def _table(folder: str) -> str:
+    return folder.rsplit("/", 1)[1].replace("-", "_")
+
+
+def remove(spark: SparkSession, folder: str) -> None:
+    """Remove a table that ``store_at`` made once all that came of it is stored elsewhere."""
+    spark.sql(f"DROP TABLE IF EXISTS {_table(folder)}")
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
 
 
 def exchange(sent: DataFrame, combine: Callable) -> DataFrame:

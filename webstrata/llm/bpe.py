@@ -37,8 +37,6 @@ from pyspark.sql import types as T
 from webstrata.llm import blocks
 
 MAX_PIECES = 1_000_000
-#: A block's words are Python strings, some twenty times its text.
-BLOCK_BYTES = 4 << 20
 # --- Fixed value: the pre-tokenizer's pattern of byte-level BPE ---
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
@@ -239,7 +237,7 @@ def _from_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def encode(
-    docs: DataFrame, path: str | None = None, limit: int = BLOCK_BYTES, decoded: bool = False
+    docs: DataFrame, path: str | None = None, limit: int = blocks.BLOCK_BYTES, decoded: bool = False
 ) -> DataFrame:
     """``docs`` without ``text``, with ``ids``: little-endian unsigned 32-bit integers.
 

@@ -40,6 +40,7 @@ from webstrata.llm import blocks
 from webstrata.llm.common import stored
 from webstrata.llm.components import components
 from webstrata.llm.substrings import WordHashes, mixed, powers
+from webstrata.operators.checkpoints import fresh_folder
 
 SHINGLE = 5
 PERCENT = 80
@@ -300,7 +301,10 @@ def join(docs: DataFrame, limit: int = blocks.BLOCK_BYTES) -> DataFrame:
         f"block long, data binary, parts array<{blocks.PART}>, "
         f"docs array<struct<doc_id:{kind},cls:string,n:long>>",
     )
-    kept = blocks.store(made, "shingles")
+    folder = fresh_folder(docs.sparkSession, "shingles")
+    kept = blocks.store_at(made, folder)
+    narrow = kept.select(F.explode("docs").alias("d")).select("d.doc_id", "d.cls", F.col("d.n").alias("n_shingles"))
+    narrow = stored(narrow, "documents")
     answers = blocks.exchange(kept.select("block", "parts"), _shared)
     found = blocks.with_answers(kept.select("block", "data"), answers.filter("answers is not null"))
     classes = found.mapInArrow(
@@ -309,8 +313,9 @@ def join(docs: DataFrame, limit: int = blocks.BLOCK_BYTES) -> DataFrame:
     classes = classes.groupBy("cls").agg(
         *[F.first(c).alias(c) for c in ("n", "toks", "weight", "keys")]
     )
-    roots = link_classes(stored(classes, "classes"))
-    narrow = kept.select(F.explode("docs").alias("d")).select("d.doc_id", "d.cls", F.col("d.n").alias("n_shingles"))
+    classes = stored(classes, "classes")
+    blocks.remove(docs.sparkSession, folder)  # documents and candidate classes are all that is needed
+    roots = link_classes(classes)
     least = narrow.filter("n_shingles > 0").groupBy("cls").agg(F.min("doc_id").alias("least"))
     named = least.join(roots, "cls", "left").withColumn("root", F.coalesce("root", "cls"))
     component = named.groupBy("root").agg(F.min("least").alias("component_id"))

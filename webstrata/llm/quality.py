@@ -128,11 +128,12 @@ def host_verdicts(ruled: DataFrame, host: str = "source") -> DataFrame:
 def judge(docs: DataFrame, keep_text: bool = True) -> DataFrame:
     """Add the counts, ``base_failed`` and ``kept`` to every document.
 
-    The counted rows are stored, with their text only if it is asked for: hosts and documents
-    are then judged without counting twice.
+    Without the text the counted rows are stored, so that hosts and documents are judged without
+    counting twice; with it they are counted again, as a copy of all texts would cost more.
     """
     ruled = with_rules(with_counts(docs))
-    ruled = stored(ruled if keep_text else ruled.drop("text"), "counted")
+    if not keep_text:
+        ruled = stored(ruled.drop("text"), "counted")
     hosts = stored(host_verdicts(ruled).select("source", "_rejected"), "host-verdicts")
     joined = join_lookup(ruled, hosts, "source", ["n_words", "word_chars", "n_symbols"])
     kept = ~F.col("base_failed") & ~F.coalesce("_rejected", F.lit(False))
