@@ -45,3 +45,27 @@ def test_broken_markup_is_linear(part):
     start = time.perf_counter()
     extraction.main_text(page, None)
     assert time.perf_counter() - start < 6
+
+
+@pytest.mark.parametrize(
+    "opening",
+    [
+        "<article data-title='A hidden valley'>",
+        '<article data-hidden="false">',
+        "<article data-role=menu data-id=ads>",
+        '<article data-x="y hidden id=ads style=display:none">',
+        "<article aria-hidden=false>",
+    ],
+)
+def test_only_exact_attributes_count(opening):
+    assert extraction.main_text(f"{opening}{BODY}</article>", None) == TEXT
+
+
+def test_links_keep_their_text():
+    links = '<a href="/hidden-falls">falls</a>, <a href="/x?id=ads">class</a>'
+    assert extraction.main_text(f"<article><p>{'Words ' * 20}{links}</p></article>", None).endswith(" falls, class")
+
+
+@pytest.mark.parametrize("names", ["hidden", "HIDDEN=''", "aria-hidden = 'true'", "style='display: none'", "x=1 class=\"a ad\"", "id=sidebar"])
+def test_named_attributes_still_hide(names):
+    assert extraction.main_text(f"<article>{BODY}<div data-x='>' {names}>Gone</div></article>", None) == TEXT

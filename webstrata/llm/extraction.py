@@ -56,7 +56,8 @@ BOILERPLATE = frozenset(
 )
 REMARKS = frozenset("comment comments disqus respond reply replies discussion".split())
 HEADS = frozenset("header masthead topbar".split())
-_ATTRIBUTE = re.compile(r"""\b(class|id|role|hidden|aria-hidden|style)\b(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
+#: Each attribute in turn, its value consumed with it.
+_ATTRIBUTE = re.compile(r"""([^\s=/]++)(?:\s*+=\s*+(?:"([^"]*+)"|'([^']*+)'|(\S*+)))?+""")
 _NAME = re.compile(r"[a-zA-Z][^\s/>]*")
 _WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
@@ -181,13 +182,15 @@ def parse(page: str | None) -> tuple[list[Element], list[tuple[Element, str, boo
         names, hidden = "", False
         attributes = page[name.end() : end]
         if attributes.strip(" /\n\t"):
-            for key, value in _ATTRIBUTE.findall(attributes):
-                key, value = key.lower(), value.strip("\"'")
+            found: dict[str, str] = {}
+            for key, *values in _ATTRIBUTE.findall(attributes):
+                found.setdefault(key.lower(), "".join(values))
+            for key, value in found.items():
                 if key in ("class", "id", "role"):
                     names += f" {value}"
                 elif key == "style":
                     hidden |= re.sub(r"\s", "", value.lower()).find("display:none") >= 0
-                elif key == "hidden" or value.lower() == "true":
+                elif key == "hidden" or (key == "aria-hidden" and value.strip().lower() == "true"):
                     hidden = True
         inside = bool(opened.get("article") or opened.get("main"))
         out = dropped or hidden or tag in DROPPED or (bool(names) and _boilerplate(tag, names, inside))
