@@ -69,3 +69,19 @@ def test_links_keep_their_text():
 @pytest.mark.parametrize("names", ["hidden", "HIDDEN=''", "aria-hidden = 'true'", "style='display: none'", "x=1 class=\"a ad\"", "id=sidebar"])
 def test_named_attributes_still_hide(names):
     assert extraction.main_text(f"<article>{BODY}<div data-x='>' {names}>Gone</div></article>", None) == TEXT
+
+
+@pytest.mark.parametrize("size", [99_000, 101_000, 3_000_000])
+@pytest.mark.parametrize("quote", ["'", '"'])
+def test_quoted_value_of_any_size(size, quote):
+    value = ("</p></article><p>Not text.</p>" * (size // 30 + 1))[:size]
+    page = f"<article><div data-state={quote}{value}{quote}></div>{BODY}</article>"
+    assert extraction.main_text(page, None) == TEXT
+
+
+@pytest.mark.parametrize("part", ["<a b=", "<a b='>", '<a b=">', "<a b= ", "<a =", "<a b=''", "<a>='", "<a b=' c=\">"])
+def test_tag_ends_are_linear(part):
+    page = "<p>words of text</p>" + part * (1_000_000 // len(part))
+    start = time.perf_counter()
+    extraction.main_text(page, None)
+    assert time.perf_counter() - start < 20

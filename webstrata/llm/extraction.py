@@ -58,6 +58,10 @@ REMARKS = frozenset("comment comments disqus respond reply replies discussion".s
 HEADS = frozenset("header masthead topbar".split())
 #: Each attribute in turn, its value consumed with it.
 _ATTRIBUTE = re.compile(r"""([^\s=/]++)(?:\s*+=\s*+(?:"([^"]*+)"|'([^']*+)'|(\S*+)))?+""")
+#: Inside a tag, up to its ``>``. A quote after an equals sign protects up to the next one of its
+#: kind, however far; without a next one it is text. Only the last quote of a kind lacks one, so
+#: all tags together are scanned in linear time.
+_INSIDE = re.compile(r"""(?:[^>=]++|=\s*+(?:"[^"]*+"|'[^']*+')?+)*+""")
 _NAME = re.compile(r"[a-zA-Z][^\s/>]*")
 _WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
@@ -85,28 +89,10 @@ def path_key(above: int, label: str) -> int:
     return xxhash.xxh3_64_intdigest(f"{above}>{label}") if label else 0
 
 
-def _tag_end(page: str, at: int, closed: dict[str, int]) -> int:
-    """Where the tag that opens at ``at`` ends: the first ``>`` outside quoted values."""
-    end = page.find(">", at)
-    while end >= 0:
-        part = page[at:end]
-        open_quote = ""
-        for sign in re.findall(r"""=\s*(["'])|(["'])""", part):
-            mark = sign[0] or sign[1]
-            if not open_quote and sign[0]:
-                open_quote = mark
-            elif mark == open_quote:
-                open_quote = ""
-        if not open_quote or end >= closed.get(open_quote, len(page)):
-            return end
-        quote = page.find(open_quote, end)
-        if quote < 0:  # never closed from here on: the quote is text
-            closed[open_quote] = end
-            return end
-        if quote - at > 100_000:
-            return end
-        end = page.find(">", quote)
-    return -1
+def _tag_end(page: str, at: int) -> int:
+    """Where the tag that opens at ``at`` ends: the first ``>`` outside quoted values, or -1."""
+    end = _INSIDE.match(page, at).end()
+    return end if end < len(page) else -1
 
 
 def _boilerplate(tag: str, names: str, inside_article: bool) -> bool:
@@ -134,7 +120,6 @@ def parse(page: str | None) -> tuple[list[Element], list[tuple[Element, str, boo
     stack: list[tuple[str, Element, bool, bool]] = [("", root, False, False)]
     opened: dict[str, int] = {}
     containers, pieces = [root], []
-    closed: dict[str, int] = {}
     at, size = 0, len(page)
     while at < size:
         start = page.find("<", at)
@@ -162,7 +147,7 @@ def parse(page: str | None) -> tuple[list[Element], list[tuple[Element, str, boo
             at = start + 1
             continue
         tag = name.group().lower()
-        end = _tag_end(page, name.end(), closed)
+        end = _tag_end(page, name.end())
         at = size if end < 0 else end + 1
         if end < 0:
             break
