@@ -85,3 +85,34 @@ def test_tag_ends_are_linear(part):
     start = time.perf_counter()
     extraction.main_text(page, None)
     assert time.perf_counter() - start < 20
+
+
+LEAD, LONG = "A short lead stands here.", "Many words make a long body. " * 20
+WHOLE = f"{LEAD} {LONG.strip()}"
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        f"<article><header><h1>{LEAD}</h1></header><div class=entry-content><p>{LONG}</p></div></article>",
+        f"<body>{MENU}<main><h1>{LEAD}</h1><article><p>{LONG}</p></article></main></body>",
+        f"<body><div class=post><p>{LEAD}</p><blockquote>{LONG}</blockquote></div></body>",
+        f"<article><p>{LEAD}</p><blockquote><p>{LONG}</p></blockquote></article>",
+        f"<body><div class=post><div class=part>{LEAD}</div><div class=part>{LONG}</div></div></body>",
+        f"<body><div class=part>{LEAD}</div><div class=links><a href=/a>{LEAD}</a></div><div class=part>{LONG}</div></body>",
+        f"<body><h1>{LEAD}</h1><div class=content><div class=in><p>{LONG}</p></div></div></body>",
+        f"<h1>{LEAD}</h1><div class=content><p>{LONG}</p></div>",
+    ],
+)
+def test_whole_text_around_and_beside_the_best_box(page):
+    for path in (None, extraction.best_path(page)):
+        assert extraction.main_text(page, path) == WHOLE
+
+
+def test_climb_stops_at_link_lists_and_other_boxes():
+    links = f"<div class=more><a href=/a>{LEAD}</a><a href=/b>{LEAD}</a></div>"
+    for page in (
+        f"<body><div class=page><div class=content>{BODY}</div>{links}</div></body>",
+        f"<body><div class=content>{BODY}</div><div class=other>{LEAD}</div></body>",
+    ):
+        assert extraction.main_text(page, extraction.best_path(page)) == TEXT

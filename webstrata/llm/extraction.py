@@ -1,9 +1,11 @@
 """Main text of HTML pages by consensus host paths.
 
 Every page's containers are scored by their running text outside links, with more for
-``article`` and ``main``; the best one's path of tags and generalised class names is the page's
-vote. Votes are counted per host before they move; the path with most votes wins, and each page is
-extracted from the container with its host's path, or from its own best one where it has none.
+``article`` and ``main``. From the best one the choice climbs to the article around it, or else to
+the ``main`` around it, and on to the highest container that adds only running text. The path of
+tags and generalised class names reached is the page's vote. Votes are counted per host before they
+move; the path with most votes wins, and each page is extracted from all containers with its host's
+path in page order, or with the path of its own choice where it has none.
 Within it, menus, footers, forms, scripts and elements whose class, id or role names them as
 boilerplate are left out. Block elements and line breaks end a block of text; white space in a
 block becomes one space.
@@ -14,7 +16,7 @@ for each task.
 
 Defined results: NULL or empty HTML has an empty text; a NULL URL, or one without ``://``, is of the
 host with the empty name; markup that ends early is taken as closed there; unknown character
-references stay as written; ties go to the path first by name and the container first on the
+references stay as written; a page without containers votes for ``/``; ties go to the path first by name and the container first on the
 page; repeated rows are extracted each. Other columns are kept by ``extract``.
 """
 
@@ -69,12 +71,12 @@ _WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 class Element:
     """A container: its place, a key of its path of labels, and its counts of characters."""
 
-    __slots__ = ("tag", "parent", "label", "key", "plain", "linked", "score")
+    __slots__ = ("tag", "parent", "label", "key", "plain", "linked", "score", "all_plain", "all_linked")
 
     def __init__(self, tag: str, parent: Element | None, label: str) -> None:
         self.tag, self.parent, self.label = tag, parent, label
         self.key = path_key(parent.key if parent else 0, label)
-        self.plain = self.linked = self.score = 0
+        self.plain = self.linked = self.score = self.all_plain = self.all_linked = 0
 
     @property
     def path(self) -> str:
@@ -82,7 +84,7 @@ class Element:
         while box is not None and box.label:
             labels.append(box.label)
             box = box.parent
-        return ">".join(reversed(labels))
+        return ">".join(reversed(labels)) or "/"
 
 
 def path_key(above: int, label: str) -> int:
@@ -208,6 +210,11 @@ def rate(containers: list[Element], pieces: list[tuple[Element, str, bool]]) ->
             else:
                 box.plain += n
     for box in reversed(containers):
+        box.all_plain += box.plain
+        box.all_linked += box.linked
+        if box.parent is not None:
+            box.parent.all_plain += box.all_plain
+            box.parent.all_linked += box.all_linked
         own = max(0, box.plain - 2 * box.linked)
         box.score += own
         if box.tag in ("article", "main"):
@@ -219,9 +226,38 @@ def rate(containers: list[Element], pieces: list[tuple[Element, str, bool]]) ->
     return max(containers, key=lambda box: box.score)
 
 
-def text_of(chosen: Element, pieces: list[tuple[Element, str, bool]]) -> str:
-    """Blocks of the container's text, joined by one space."""
-    inside: dict[int, bool] = {id(chosen): True}
+def climb(best: Element, containers: list[Element]) -> Element:
+    """The container around ``best`` that holds the whole text.
+
+    That is the outermost article around it, else the nearest ``main``, else itself; and from
+    there the highest one of which every part that it adds has no more text in links than
+    outside. The page's body adds its own text only, no other boxes.
+    """
+    chain = [best]
+    while chain[-1].parent is not None:
+        chain.append(chain[-1].parent)
+    way = {id(box) for box in chain}
+    beside, links = set(), {id(box) for box in chain if box.linked > box.plain}
+    for box in containers:
+        if id(box) not in way and id(box.parent) in way and box.all_plain + box.all_linked:
+            beside.add(id(box.parent))
+            if box.all_linked > box.all_plain:
+                links.add(id(box.parent))
+    articles = [i for i, box in enumerate(chain) if box.tag == "article"]
+    mains = [i for i, box in enumerate(chain) if box.tag == "main"]
+    at = articles[-1] if articles else mains[0] if mains else 0
+    for box in chain[at + 1 :]:
+        if id(box) in links:
+            break
+        if box.tag in ("html", "body", "") and (id(box) in beside or not box.plain):
+            break
+        at += 1
+    return chain[at]
+
+
+def text_of(chosen: list[Element], pieces: list[tuple[Element, str, bool]]) -> str:
+    """Blocks of the containers' text in page order, joined by one space."""
+    inside: dict[int, bool] = {id(box): True for box in chosen}
 
     def held(box: Element | None) -> bool:
         way = []
@@ -246,22 +282,31 @@ def text_of(chosen: Element, pieces: list[tuple[Element, str, bool]]) -> str:
 
 
 def best_path(page: str | None) -> str:
-    """Path of the page's best container, '' if it has no text."""
-    best = rate(*parse(page))
-    return best.path if best.score > 0 else ""
+    """Path of the page's best container after climbing, '' if it has no text."""
+    containers, pieces = parse(page)
+    best = rate(containers, pieces)
+    return climb(best, containers).path if best.score > 0 else ""
 
 
 def main_text(page: str | None, path: str | None) -> str:
-    """Text of the best container with the given path, else of the page's best one."""
+    """Text of the containers with the given path, else with the path of the page's best one."""
     containers, pieces = parse(page)
     best = rate(containers, pieces)
+    found = []
     if path:
         key = 0
-        for label in path.split(">"):
+        for label in path.split(">") if path != "/" else ():
             key = path_key(key, label)
-        same = [box for box in containers if box.key == key and box.score > 0]
-        best = max(same, key=lambda box: box.score) if same else best
-    return text_of(best, pieces)
+        found = _with_text(containers, key)
+    if not found:
+        found = _with_text(containers, climb(best, containers).key) or [best]
+    return text_of(found, pieces)
+
+
+def _with_text(containers: list[Element], key: int) -> list[Element]:
+    """All containers with the path, if one of them has running text."""
+    same = [box for box in containers if box.key == key]
+    return same if any(box.score > 0 for box in same) else []
 
 
 def votes(pages: DataFrame) -> DataFrame:
