@@ -1,5 +1,8 @@
 """Every step after the other, from seed files to scores, over the smallest pages."""
 
+from dataclasses import replace
+
+from pyspark.ml.functions import array_to_vector
 from pyspark.sql import functions as F
 
 from webstrata.functions import urls
@@ -51,3 +54,34 @@ def test_quota_on_the_largest_domain(spark):
     whole = queries.pages_per_domain(spark, source)
     clipped = whole.select("domain", F.least("pages", F.lit(25)).alias("count"))
     assert clipped.exceptAll(counts).isEmpty() and counts.exceptAll(clipped).isEmpty()
+
+
+def test_registered_models_do_the_whole_job(spark, folder, monkeypatch):
+    """Every model query trains with the defaults, but for the leaf rows of the small label tables."""
+    default, used = training.Training(), []
+    monkeypatch.setattr(training, "split_parts", lambda rows, key, config: (rows, rows))
+    for name in ("fit_trees", "fit_linear", "fit_content_only", "fit_url_only"):
+        monkeypatch.setattr(training, name, lambda *given, **_: (used.append(given[1]), ([], []))[1])
+    monkeypatch.setattr(training, "fit_boosted", lambda rows, config, classes: used.append(config))
+    monkeypatch.setattr(training, "report", lambda *_, **__: used)
+    for name in ("boosted_report", "linear_report", "multiclass_report", "content_only_report", "url_only_report"):
+        try:
+            getattr(queries, name)(spark, folder)
+        except AttributeError:  # the stand-ins have no transform()
+            pass
+    assert len(used) == 5
+    assert [replace(config, min_leaf_rows=default.min_leaf_rows) for config in used] == [default] * 5
+    assert queries.feature_table(spark, folder).first()["width"] == 65_536 + 15
+
+
+def test_each_class_stops_early(spark):
+    """Labels without any relation to the columns: later rounds do not help on other rows."""
+    rows = spark.range(300).select(
+        F.expr("cast(abs(hash(id)) % 3 as int)").alias("label"),
+        array_to_vector(F.expr("array(rand(1), rand(2))")).alias("features"),
+        (F.col("id") % 2 == 0).alias("is_validation"),
+    )
+    config = training.Training(rounds=12, patience=1, step_size=0.9, min_leaf_rows=1)
+    model = training.fit_trees(rows, config, 3)
+    assert [m.getNumTrees < 12 for m in model.models] == [True] * 3
+    assert model.transform(rows).filter("prediction in (0, 1, 2)").count() == 300

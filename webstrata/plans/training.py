@@ -10,7 +10,7 @@ from __future__ import annotations
 from dataclasses import asdict, dataclass
 
 from pyspark.ml import Pipeline, PipelineModel, Transformer
-from pyspark.ml.classification import GBTClassifier, LogisticRegression, OneVsRest
+from pyspark.ml.classification import GBTClassifier, LogisticRegression, OneVsRestModel
 from pyspark.ml.feature import (
     HashingTF,
     Normalizer,
@@ -121,24 +121,43 @@ def best_round(losses: list[float], patience: int) -> int:
     return best + 1
 
 
+def fit_stopped(trees: GBTClassifier, train: DataFrame, validation: DataFrame, config: Training):
+    """Fit until ``patience`` rounds do not improve on the log-loss of the validation rows.
+
+    Rounds depend on earlier ones only and the seed is fixed, so fitting again with other
+    rounds gives the same first trees: doubling the rounds until the stop is reached gives what
+    fitting all of them first would.
+    """
+    if validation.isEmpty():
+        return trees.fit(train)
+    rounds = min(config.rounds, 2 * config.patience)
+    while True:
+        model = trees.copy({trees.maxIter: rounds}).fit(train)
+        keep = best_round(model.evaluateEachIteration(validation), config.patience)
+        if rounds == config.rounds or rounds - keep >= config.patience:
+            break
+        rounds = min(config.rounds, 2 * rounds)
+    return model if keep == rounds else trees.copy({trees.maxIter: keep}).fit(train)
+
+
 def fit_trees(rows: DataFrame, config: Training, classes: int, column: str = "features"):
-    """Boosted trees over ``column``, stopped early on the log-loss of the validation rows.
+    """Boosted trees over ``column``, stopped early by the validation rows.
 
-    Rounds depend on earlier ones only and the seed is fixed, so fitting again with fewer
-    rounds gives the same first trees. For more than two classes there is one model per
-    class, the most probable class wins, and all rounds are kept.
+    For more than two classes there is one model per class, each with a stop of its own, and
+    the most probable class wins.
     """
     checkpoint_root(rows.sparkSession)
     trees = boosted(config, column)
-    if classes > 2:
-        return OneVsRest(classifier=trees, labelCol="label", featuresCol=column).fit(rows)
     train = rows.filter(~F.col("is_validation"))
     validation = rows.filter("is_validation")
-    model = trees.fit(train)
-    if validation.isEmpty():
-        return model
-    keep = best_round(model.evaluateEachIteration(validation), config.patience)
-    return model if keep == config.rounds else trees.setMaxIter(keep).fit(train)
+    if classes <= 2:
+        return fit_stopped(trees, train, validation, config)
+    models = []
+    for c in range(classes):
+        own = (F.col("label") == c).cast("int")
+        parts = [part.withColumn("label", own) for part in (train, validation)]
+        models.append(fit_stopped(trees, *parts, config))
+    return OneVsRestModel(models).setFeaturesCol(column)
 
 
 def split_parts(rows: DataFrame, key: str, config: Training) -> tuple[DataFrame, DataFrame]:

@@ -27,7 +27,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 STOP_WORDS = ("the", "of", "and", "to", "in", "la", "le", "de", "der", "die", "el", "los")
 SHORT_PAGE = 2000
-SMALL = training.Training(buckets=64, rounds=8, linear_rounds=25)
+WHOLE = training.Training()
 
 _QUERIES: dict[str, Query] = {}
 
@@ -696,10 +696,10 @@ def dense_features(spark, folder):
 
 @query
 def feature_table(spark, folder):
-    rows = training.feature_rows(main_table(spark, folder), SMALL)
+    rows = training.feature_rows(main_table(spark, folder), WHOLE)
     vector = F.unwrap_udt("features")
     pairs = F.arrays_zip(vector["indices"].alias("i"), vector["values"].alias("v"))
-    text_part = F.filter(pairs, lambda p: p["i"] < SMALL.buckets)
+    text_part = F.filter(pairs, lambda p: p["i"] < WHOLE.buckets)
     norm = F.aggregate(text_part, F.lit(0.0), lambda s, p: s + p["v"] * p["v"])
     return rows.select(
         "url",
@@ -712,16 +712,16 @@ def feature_table(spark, folder):
 
 @query
 def boosted_report(spark, folder):
-    rows = stored_features(spark, folder, SMALL)
-    train, test = training.split_parts(rows, "url", SMALL)
-    return training.report(training.fit_boosted(train, SMALL, classes=2).transform(test))
+    rows = stored_features(spark, folder, WHOLE)
+    train, test = training.split_parts(rows, "url", WHOLE)
+    return training.report(training.fit_boosted(train, WHOLE, classes=2).transform(test))
 
 
 @query
 def linear_report(spark, folder):
-    rows = stored_features(spark, folder, SMALL)
-    train, test = training.split_parts(rows, "url", SMALL)
-    return training.report(training.fit_linear(train, SMALL).transform(test))
+    rows = stored_features(spark, folder, WHOLE)
+    train, test = training.split_parts(rows, "url", WHOLE)
+    return training.report(training.fit_linear(train, WHOLE).transform(test))
 
 
 def _labelled_documents(spark: SparkSession, folder: str) -> DataFrame:
@@ -732,7 +732,7 @@ def _labelled_documents(spark: SparkSession, folder: str) -> DataFrame:
 
 @query
 def multiclass_report(spark, folder):
-    config = training.Training(buckets=48, rounds=3, min_leaf_rows=1)
+    config = training.Training(min_leaf_rows=1)
     rows = _labelled_documents(spark, folder).withColumn("label", F.col("quality") + 2 * F.col("toxic"))
     for stage in training.hashed_text(config):
         rows = stage.transform(rows)
@@ -743,7 +743,7 @@ def multiclass_report(spark, folder):
 
 
 def _content_only(spark: SparkSession, folder: str):
-    config = training.Training(vocabulary=200, rounds=12, step_size=0.3, min_leaf_rows=3)
+    config = training.Training(min_leaf_rows=3)
     rows = _labelled_documents(spark, folder).withColumn("label", F.col("quality"))
     train, test = training.split_parts(rows.select("key", "label", "text_content"), "key", config)
     return training.fit_content_only(train, config), test
@@ -763,8 +763,8 @@ def feature_importance(spark, folder):
 
 def _url_only(spark: SparkSession, folder: str):
     rows = with_label(pages(spark, folder).select("url")).drop("domain")
-    train, test = training.split_parts(rows, "url", SMALL)
-    return training.fit_url_only(train, SMALL), test
+    train, test = training.split_parts(rows, "url", WHOLE)
+    return training.fit_url_only(train, WHOLE), test
 
 
 @query
@@ -782,9 +782,9 @@ def url_only_terms(spark, folder):
 @query
 def score_pages(spark, folder):
     """Train, save, load, and score captured pages with the loaded model."""
-    rows = stored_features(spark, folder, SMALL)
-    train, _ = training.split_parts(rows, "url", SMALL)
-    model = training.whole_model(SMALL, training.fit_boosted(train, SMALL, classes=2))
+    rows = stored_features(spark, folder, WHOLE)
+    train, _ = training.split_parts(rows, "url", WHOLE)
+    model = training.whole_model(WHOLE, training.fit_boosted(train, WHOLE, classes=2))
     path = fresh_folder(spark, "model")
     training.save(model, path)
     return scoring.score_pages(training.load(path), pages(spark, folder))
