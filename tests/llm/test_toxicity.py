@@ -38,3 +38,19 @@ def test_no_positives_and_empty(spark):
     assert [r["score"] for r in toxicity.score(docs, toxicity.fit(docs, labels)).collect()] == [0.0, 0.0]
     assert toxicity.fit(docs, labels.limit(0)) == []
     assert toxicity.score(docs.limit(0), []).collect() == []
+
+
+def test_long_texts_take_part_in_the_fit(spark, prose):
+    """All positives are long; the words of the sample have the features of the texts."""
+    filler = " stone light" * 5_000
+    texts = [prose(i, 60) + (" vexor grimbal" if i % 6 == 0 else "") + (filler if i % 3 == 0 else "") for i in range(600)]
+    assert all(len(t) > 50_000 for t in texts[::6])
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    marked = spark.createDataFrame([(i, 0, int(i % 6 == 0)) for i in range(600)], "doc_id long, quality int, toxic int")
+    models = toxicity.fit(frame, marked)
+    assert len(models) == toxicity.MODELS
+    got = toxicity.score(frame.filter(toxicity.held_out(frame["doc_id"])), models).collect()
+    right = sum((r["score"] >= toxicity.THRESHOLD) == (r["doc_id"] % 6 == 0) for r in got)
+    assert got and right >= 0.97 * len(got)
+    one = "The \u0130stanbul \u03a3\u0391\u03a3 the_x VEXOR vexor " + texts[0]
+    assert toxicity.words_of(" ".join(sorted(toxicity.words_of(one)))) == toxicity.words_of(one)

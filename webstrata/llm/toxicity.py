@@ -8,7 +8,8 @@ Spark tasks, each from all positives and its own hash part of the other text, an
 their chances is the score.
 
 The fit is bounded: at most ``MAX_POSITIVE`` positives and ``MAX_UNLABELLED`` documents of any
-kind, the lowest by hash; of these, texts over ``MAX_FIT_CHARS`` are left out. The class prior comes from all labels that may be learned from. Every whole
+kind, the lowest by hash and of any length. Only their distinct words move, which is all that the
+features depend on. The class prior comes from all labels that may be learned from. Every whole
 text is scored where it lies, without a shuffle.
 
 Defined results: a NULL or empty text is scored by the bias alone; without any usable positive
@@ -31,8 +32,6 @@ from pyspark.sql import functions as F
 MODELS = 3
 MAX_POSITIVE = 4000
 MAX_UNLABELLED = 12000
-#: Texts of more characters take no part in the fit.
-MAX_FIT_CHARS = 50_000
 BUCKETS = 1 << 20
 GRAMS = (4, 5)
 MIN_Z = 6.0
@@ -177,11 +176,17 @@ def fit(docs: DataFrame, labels: DataFrame) -> list[tuple[np.ndarray, np.ndarray
     )
     # At most MAX_POSITIVE + MAX_UNLABELLED narrow rows.
     chosen = F.broadcast(positives.union(others).distinct())
+
+    @F.pandas_udf("string")
+    def distinct_words(texts: pd.Series) -> pd.Series:
+        """A text's distinct words as a text: of the same features, and short for a long one."""
+        return pd.Series([" ".join(sorted(words_of(t))) for t in texts], dtype=object)
+
     every = F.array(*[F.lit(i).cast("long") for i in range(MODELS)])
     sample = (
         docs.select("doc_id", "text")
-        .filter(F.length(F.coalesce("text", F.lit(""))) <= MAX_FIT_CHARS)
         .join(chosen, "doc_id")
+        .withColumn("text", distinct_words("text"))
         .withColumn("part", F.pmod(F.col("hash"), F.lit(MODELS)))
         .withColumn("parts", F.when(F.col("positive"), every).otherwise(F.array("part")))
         .select("text", "positive", "hash", F.explode("parts").alias("model"))
