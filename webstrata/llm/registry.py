@@ -9,6 +9,7 @@ from webstrata.llm import (
     fingerprints,
     mixing,
     ngram_join,
+    phrases,
     quality,
     substrings,
     toxicity,
@@ -26,6 +27,7 @@ QUERIES = {
     "op8_document_fingerprints": fingerprints.query,
     "op9_ngram_jaccard_join": ngram_join.query,
     "op10_substring_dedup": substrings.query,
+    "op12_phrase_collocations": phrases.query,
 }
 
 
@@ -40,4 +42,5 @@ def oracle_sql() -> dict[str, str]:
         "op6_quality_rules": quality.oracle(),
         "op9_ngram_jaccard_join": ngram_join.ORACLE,
         "op10_substring_dedup": substrings.ORACLE,
+        "op12_phrase_collocations": phrases.oracle(),
     }
