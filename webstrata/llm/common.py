@@ -9,8 +9,10 @@ from webstrata.operators.checkpoints import fresh_folder
 
 #: Words are runs of characters outside this class.
 BLANK = r"\x20\x09-\x0D"
-#: A lookup of at most so many narrow rows is broadcast, a larger one is joined by shuffle.
-BROADCAST_ROWS = 50_000
+#: A lookup of at most so many bytes is broadcast, a larger one is joined by shuffle.
+BROADCAST_BYTES = 32 << 20
+#: Parts that the rows of one key are dealt to where a lookup is joined by shuffle.
+SALTS = 64
 
 
 def word_array(text: Column) -> Column:
@@ -39,19 +41,24 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(folder)
 
 
+def lookup_bytes(lookup: DataFrame) -> int:
+    """Size of a lookup's rows: their values as text, and 16 bytes a row and value."""
+    texts = [F.coalesce(F.octet_length(F.to_json(F.struct(c))), F.lit(0)) + 16 for c in lookup.columns]
+    return lookup.agg(F.sum(sum(texts, F.lit(16)).cast("long"))).first()[0] or 0
+
+
 def join_lookup(rows: DataFrame, lookup: DataFrame, key: str, spread_by: list[str]) -> DataFrame:
     """Left join of many rows to a stored lookup with one row per key; NULL meets NULL.
 
-    Up to ``BROADCAST_ROWS`` keys the lookup is broadcast. Beyond that every lookup row is
-    repeated for each of 64 salts and the rows of a key are dealt over the salts, so that a key
-    with a third of all rows meets in 64 tasks; the result is the same.
+    Up to ``BROADCAST_BYTES``, measured, the lookup is broadcast. Beyond that every lookup row is
+    repeated for each of ``SALTS`` salts and the rows of a key are dealt over the salts, so that
+    a key with a third of all rows meets in as many tasks; the result is the same.
     """
     right = lookup.withColumnRenamed(key, "_key")
-    same = rows[key].eqNullSafe(right["_key"])
-    if lookup.count() <= BROADCAST_ROWS:
-        return rows.join(F.broadcast(right), same, "left").drop("_key")
-    salts = 64
-    left = rows.withColumn("_salt", F.pmod(F.xxhash64(*spread_by), F.lit(salts)))
-    right = right.withColumn("_s", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).cast("long"))
+    if lookup_bytes(lookup) <= BROADCAST_BYTES:
+        return rows.join(F.broadcast(right), rows[key].eqNullSafe(right["_key"]), "left").drop("_key")
+    salts = F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))
+    left = rows.withColumn("_salt", F.pmod(F.xxhash64(*spread_by), F.lit(SALTS).cast("long")))
+    right = right.withColumn("_s", F.explode(salts))
     same = left[key].eqNullSafe(right["_key"]) & (left["_salt"] == right["_s"])
     return left.join(right, same, "left").drop("_key", "_salt", "_s")

@@ -13,6 +13,7 @@ from webstrata.llm import (
     quality,
     substrings,
     toxicity,
+    tries,
     url_filter,
 )
 
@@ -28,6 +29,7 @@ QUERIES = {
     "op9_ngram_jaccard_join": ngram_join.query,
     "op10_substring_dedup": substrings.query,
     "op12_phrase_collocations": phrases.query,
+    "op13_prefix_trie": tries.query,
 }
 
 
@@ -43,4 +45,5 @@ def oracle_sql() -> dict[str, str]:
         "op9_ngram_jaccard_join": ngram_join.ORACLE,
         "op10_substring_dedup": substrings.ORACLE,
         "op12_phrase_collocations": phrases.oracle(),
+        "op13_prefix_trie": tries.ORACLE,
     }
