@@ -7,6 +7,7 @@ from webstrata.llm import (
     chat,
     extraction,
     fingerprints,
+    languages,
     mixing,
     ngram_join,
     phrases,
@@ -28,6 +29,7 @@ QUERIES = {
     "op8_document_fingerprints": fingerprints.query,
     "op9_ngram_jaccard_join": ngram_join.query,
     "op10_substring_dedup": substrings.query,
+    "op11_language_id": languages.query,
     "op12_phrase_collocations": phrases.query,
     "op13_prefix_trie": tries.query,
 }
