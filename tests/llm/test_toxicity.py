@@ -2,6 +2,9 @@
 
 import zlib
 
+import numpy as np
+import pytest
+
 from webstrata.llm import toxicity
 
 
@@ -54,3 +57,53 @@ def test_long_texts_take_part_in_the_fit(spark, prose):
     assert got and right >= 0.97 * len(got)
     one = "The \u0130stanbul \u03a3\u0391\u03a3 the_x VEXOR vexor " + texts[0]
     assert toxicity.words_of(" ".join(sorted(toxicity.words_of(one)))) == toxicity.words_of(one)
+
+
+def test_bounds_hold_in_rows(spark, prose, monkeypatch):
+    """One id repeated 500 times is as many rows as it has texts, and no more than the bound."""
+    rows = [(i, prose(i, 30) + (" vexor" if i % 6 == 0 else "")) for i in range(200)] + [(12, "same vexor words")] * 500
+    rows += [(18, f"vexor number {i}") for i in range(300)]
+    labels = spark.createDataFrame([(i, 0, int(i % 6 == 0)) for i in range(200)], "doc_id long, quality int, toxic int")
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    seen = spark.sparkContext.accumulator(0)
+    learn = toxicity._learn_group
+
+    def counted(prior):
+        run = learn(prior)
+
+        def wrapped(group):
+            seen.add(len(group))
+            return run(group)
+
+        return wrapped
+
+    monkeypatch.setattr(toxicity, "_learn_group", counted)
+    toxicity.fit(frame, labels, max_positive=5, max_unlabelled=60)
+    assert 0 < seen.value <= 5 * toxicity.MODELS + 60
+
+
+def test_only_toxic_labels(spark, prose):
+    rows = [(i, prose(i, 60) + (" vexor grimbal" if i % 6 == 0 else "")) for i in range(900)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    marked = spark.createDataFrame([(i, 0, 1) for i in range(0, 900, 12)], "doc_id long, quality int, toxic int")
+    models = toxicity.fit(frame, marked, prior=1 / 6)
+    assert len(models) == toxicity.MODELS and len(toxicity.fit(frame, marked)) == toxicity.MODELS
+    got = toxicity.score(frame.filter(toxicity.held_out(frame["doc_id"])), models).collect()
+    assert sum((r["score"] >= toxicity.THRESHOLD) == (r["doc_id"] % 6 == 0) for r in got) >= 0.97 * len(got)
+
+
+def test_slopes_are_derivatives_of_the_risk():
+    state = np.random.default_rng(5)
+    for shift in (-3.0, 0.0, 3.0):
+        score, positive = state.normal(shift, 2, 40), np.arange(40) % 4 == 0
+        for prior in (0.1, 0.7):
+            as_positive, rest = toxicity.risk(score, positive, prior)
+            got = toxicity.slopes(score, positive, prior)
+            for i in range(40):
+                sums = []
+                for step in (1e-5, -1e-5):
+                    moved = score.copy()
+                    moved[i] += step
+                    a, b = toxicity.risk(moved, positive, prior)
+                    sums.append(a + b if rest >= 0 else -b)
+                assert got[i] == pytest.approx((sums[0] - sums[1]) / 2e-5, abs=1e-6)

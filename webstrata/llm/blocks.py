@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 from webstrata.operators.checkpoints import fresh_folder
 
 BLOCK_BYTES = 4 << 20
+BUCKET_BYTES = 64 << 20
 PART = "struct<bucket:int,blob:binary>"
 
 
@@ -109,8 +110,13 @@ def split_by_bucket(tokens: np.ndarray, buckets: int) -> list[tuple[int, slice]]
 
 
 def bucket_count(df: DataFrame) -> int:
-    """One bucket of tokens for each shuffle partition, so that a bucket fits a task."""
-    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    """Buckets of tokens, so that one fits a task: a shuffle partition each, or more of them where
+    the stored tables that ``df`` reads hold over ``BUCKET_BYTES`` for each."""
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    sizes = [int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size())]
+    # Frames that are no tables have no size, which Spark gives as the largest number.
+    known = sum(size for size in sizes if size < 1 << 60)
+    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-known // BUCKET_BYTES))
 
 
 def store(df: DataFrame, name: str) -> DataFrame:
@@ -119,7 +125,8 @@ def store(df: DataFrame, name: str) -> DataFrame:
 
 
 def store_at(df: DataFrame, folder: str) -> DataFrame:
-    writer = df.write.bucketBy(bucket_count(df), "block").option("path", folder)
+    buckets = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    writer = df.write.bucketBy(buckets, "block").option("path", folder)
     writer.saveAsTable(_table(folder))
     return df.sparkSession.table(_table(folder))
 

@@ -35,6 +35,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from webstrata.llm import blocks
+from webstrata.llm.common import admitted
 
 MAX_PIECES = 1_000_000
 # --- Fixed value: the pre-tokenizer's pattern of byte-level BPE ---
@@ -244,6 +245,7 @@ def encode(
     With ``decoded``, the ids are decoded again in the same task (see ``decode``).
     """
     path = path or default_path()
+    docs = admitted(docs, ("ids", "decoded") if decoded else ("ids",))
     kept = docs.drop("text").schema
     made = docs.mapInArrow(
         _to_blocks(path, blocks.bucket_count(docs), limit),

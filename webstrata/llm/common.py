@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -31,6 +33,13 @@ def word_count(text: Column) -> Column:
     return F.greatest(F.size(parts) - head - tail, F.lit(0)).cast("long")
 
 
+def admitted(docs: DataFrame, added: Iterable[str]) -> DataFrame:
+    """``docs`` without the columns that an operator would mix up with its own: those named like one
+    it adds, which give way to it, and those whose names start with an underscore."""
+    own = {name.lower() for name in added}
+    return docs.drop(*[c for c in docs.columns if c.startswith("_") or c.lower() in own])
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """``df`` written as Parquet below the shared checkpoint folder and read back.
 

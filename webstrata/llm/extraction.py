@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from webstrata.llm.common import join_lookup, stored
+from webstrata.llm.common import admitted, join_lookup, stored
 from webstrata.llm.url_filter import with_parts
 
 # --- Fixed values: HTML elements ---
@@ -331,7 +331,8 @@ def votes(pages: DataFrame) -> DataFrame:
 
 def extract(pages: DataFrame) -> DataFrame:
     """Add ``host`` and ``text``, the page's main text."""
-    hosted = with_parts(pages).drop("path")
+    pages = admitted(pages, ("host", "text")).withColumnsRenamed({"path": "_kept"})
+    hosted = with_parts(pages).drop("path").withColumnsRenamed({"_kept": "path"})
     winners = stored(votes(hosted), "host-paths")
 
     @F.pandas_udf("string")

@@ -8,12 +8,13 @@ takes its quota by systematic selection with a seeded start, so a block is taken
 ``quota / blocks`` times, rounded down or up. A document takes what its part of the line takes.
 
 Only one narrow row per shard, source and document moves; documents of one source are spread
-over its shards, so no task holds a source. All arithmetic on quotas is exact on integers.
+over its shards by their id and text, so no task holds a source. All arithmetic on quotas is exact on integers.
 
 Defined results: a NULL text has size 0 and takes nothing; NULL sources are one source, the
 last; repeated rows are separate documents; documents of size 0 take nothing; an empty table
-gives an empty result. Other columns of the input are kept and may have any name that does not
-start with an underscore.
+gives an empty result; a text of any length is one document and may take in many blocks. Other
+columns of the input are kept, but for those named ``size``, ``source_size``, ``target`` or ``taken``, which
+give way to the added ones, and those whose names start with an underscore, which are left out.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from webstrata.llm.common import BLANK, join_lookup, stored, word_count
+from webstrata.llm.common import BLANK, admitted, join_lookup, stored, word_count
 
 WEIGHTS = (3, 1, 2)
 SHARE = 1.5
@@ -112,15 +113,20 @@ def _over(column: str, window) -> Column:
     return F.sum(F.when(F.col("_full"), F.col(column))).over(window)
 
 
+ADDED = ("size", "source_size", "target", "taken")
+
+
 def _placed(docs: DataFrame) -> DataFrame:
+    text = F.md5(F.coalesce("text", F.lit("")).cast("binary"))
     return docs.withColumn("size", word_count(F.col("text"))).withColumn(
-        "_hash", _number(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
+        "_hash", _number(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), text)
     )
 
 
 def mix(docs: DataFrame) -> DataFrame:
     """Add ``size, source_size, target, taken`` to every document, and the marks ``_start``,
     ``_blocks``, ``_quota``, ``_offset`` from which ``taken_text`` cuts the taken words."""
+    docs = admitted(docs, ADDED)
     narrow = stored(_placed(docs).select("source", "size", "_hash"), "sizes")
     totals = narrow.groupBy(F.col("source").alias("_source")).agg(
         F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("_docs")
@@ -162,7 +168,7 @@ def mix(docs: DataFrame) -> DataFrame:
         F.pmod(_number(F.col("_no"), F.col("_shard")), F.greatest("_blocks", F.lit(1))).alias("_offset"),
     )
     line = Window.partitionBy("_no", "_shard").orderBy("_hash", "doc_id", "size", "_text")
-    dealt = join_lookup(_placed(docs), lookup.drop("_source_seats"), "source", ["doc_id", "size"])
+    dealt = join_lookup(_placed(docs), lookup.drop("_source_seats"), "source", ["_hash"])
     return (
         dealt.withColumn("_shard", shard)
         .join(quotas, ["_no", "_shard"])
@@ -243,7 +249,7 @@ def oracle() -> str:
     weights = ", ".join(map(str, WEIGHTS))
     return f"""
 with d as (select doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^{BLANK}]+'))::bigint size,
-    {number("coalesce(doc_id::varchar, '')")} h from documents),
+    {number("coalesce(doc_id::varchar, '') || '|' || md5(coalesce(text, ''))")} h from documents),
 s0 as (select source, sum(size)::bigint source_size from d group by source),
 s1 as (select *, row_number() over (order by source nulls last) no from s0),
 s2 as (select *, ([{weights}])[((no - 1) % {len(WEIGHTS)} + 1)::int] weight, source_size * {CAP} cap from s1),

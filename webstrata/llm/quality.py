@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from webstrata.llm.common import BLANK, join_lookup, stored, word_array
+from webstrata.llm.common import BLANK, admitted, join_lookup, stored, word_array
 
 MIN_WORDS = 50
 #: A host goes if its shrunk rate of failures of one rule reaches this.
@@ -134,7 +134,7 @@ def judge(docs: DataFrame, keep_text: bool = True) -> DataFrame:
     Without the text the counted rows are stored, so that hosts and documents are judged without
     counting twice; with it they are counted again, as a copy of all texts would cost more.
     """
-    ruled = with_rules(with_counts(docs))
+    ruled = with_rules(with_counts(admitted(docs, OUT[1:])))
     if not keep_text:
         ruled = stored(ruled.drop("text"), "counted")
     hosts = stored(host_verdicts(ruled).select("source", "_rejected"), "host-verdicts")

@@ -12,7 +12,9 @@ share is one entry for each block and no pairs are made. Windows are told apart
 
 Defined results: a NULL or blank text has no words; a row of NULL ``doc_id`` neither loses words
 nor makes others lose them; rows of equal ``doc_id`` do not judge each other; fewer than
-``WINDOW`` words lose nothing; an empty table gives an empty result. Other columns are kept.
+``WINDOW`` words lose nothing; an empty table gives an empty result; a text of any length is handled
+whole, alone in its block if it is long. Other columns are kept, but for those named like an added
+one, which give way to it, and those whose names start with an underscore, which are left out.
 """
 
 from __future__ import annotations
@@ -28,6 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from webstrata.llm import blocks
+from webstrata.llm.common import admitted
 
 WINDOW = 50
 GRAM = 10
@@ -238,6 +241,8 @@ def _remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def dedup(docs: DataFrame, limit: int = blocks.BLOCK_BYTES) -> DataFrame:
     """Add ``n_words``, ``n_removed`` and ``kept_text``: the words left, joined by one space."""
+    added = [("n_words", T.LongType()), ("n_removed", T.LongType()), ("kept_text", T.StringType())]
+    docs = admitted(docs, [name for name, _ in added])
     buckets = blocks.bucket_count(docs)
     made = docs.mapInArrow(
         _to_blocks(buckets, limit), f"block long, data binary, parts array<{blocks.PART}>"
@@ -249,7 +254,6 @@ def dedup(docs: DataFrame, limit: int = blocks.BLOCK_BYTES) -> DataFrame:
         _extend(buckets), f"block long, parts array<{blocks.PART}>"
     )
     repeats = blocks.exchange(windows, _repeats)
-    added = [("n_words", T.LongType()), ("n_removed", T.LongType()), ("kept_text", T.StringType())]
     out = T.StructType([*docs.schema.fields, *[T.StructField(n, k) for n, k in added]])
     return blocks.with_answers(data, repeats).mapInArrow(_remove, out)
 

@@ -8,9 +8,11 @@ Spark tasks, each from all positives and its own hash part of the other text, an
 their chances is the score.
 
 The fit is bounded: at most ``MAX_POSITIVE`` positives and ``MAX_UNLABELLED`` documents of any
-kind, the lowest by hash and of any length. Only their distinct words move, which is all that the
-features depend on. The class prior comes from all labels that may be learned from. Every whole
-text is scored where it lies, without a shuffle.
+kind, the lowest by hash and of any length; rows of one id and text are one. Only their distinct words
+move, which is all that the features depend on. The class prior is the share of toxic ones among the
+labels that may be learned from; where these confirm toxic documents only, it is ``PRIOR`` unless given.
+Only features more frequent among the positives have a weight: what speaks for a clean text is the bias.
+Every whole text is scored where it lies, without a shuffle.
 
 Defined results: a NULL or empty text is scored by the bias alone; without any usable positive
 every score is 0; a NULL ``doc_id`` is not held out and has no label; repeated rows are scored
@@ -39,6 +41,8 @@ STEPS, RATE, DECAY = 600, 0.05, 1e-3
 #: A bucket is a feature of its own for each of these numbers of distinct words that hold it.
 LEVELS = (1, 2, 4)
 THRESHOLD = 0.3
+#: Class prior where the labels do not tell it.
+PRIOR = 0.1
 _WORD = re.compile(r"\w+")
 
 
@@ -60,6 +64,22 @@ def buckets_of(text: str | None) -> np.ndarray:
     return np.concatenate([names[count >= n] * len(LEVELS) + i for i, n in enumerate(LEVELS)])
 
 
+def risk(score: np.ndarray, positive: np.ndarray, prior: float) -> tuple[float, float]:
+    """The two parts of the risk: of positives as positive, and of the rest as negative."""
+    as_negative = np.logaddexp(0, score)
+    rest = as_negative[~positive].mean() - prior * as_negative[positive].mean()
+    return float(prior * np.logaddexp(0, -score[positive]).mean()), float(rest)
+
+
+def slopes(score: np.ndarray, positive: np.ndarray, prior: float) -> np.ndarray:
+    """Derivative by each score of the risk or, if its second part is negative, of minus that part."""
+    chance = 1 / (1 + np.exp(-np.clip(score, -40, 40)))
+    n_p, n_u = positive.sum(), (~positive).sum()
+    if risk(score, positive, prior)[1] >= 0:
+        return np.where(positive, -prior / n_p, chance / n_u)
+    return np.where(positive, prior * chance / n_p, -chance / n_u)
+
+
 def learn(
     texts: list[str | None], positive: np.ndarray, prior: float
 ) -> tuple[np.ndarray, np.ndarray, float]:
@@ -86,13 +106,7 @@ def learn(
     moments = np.zeros((2, len(names) + 1))
     for step in range(1, STEPS + 1):
         score = np.bincount(row, weight[column], len(texts)) + bias
-        chance = 1 / (1 + np.exp(-np.clip(score, -40, 40)))
-        as_negative = np.logaddexp(0, score)
-        rest = as_negative[~positive].mean() - prior * as_negative[positive].mean()
-        if rest >= 0:
-            slope = np.where(positive, -prior / n_p, chance / n_u)
-        else:
-            slope = np.where(positive, prior * chance / n_p, -chance / n_u)
+        slope = slopes(score, positive, prior)
         grad = np.append(np.bincount(column, slope[row], len(names)) + DECAY * weight, slope.sum())
         moments[0] = 0.9 * moments[0] + 0.1 * grad
         moments[1] = 0.999 * moments[1] + 0.001 * grad**2
@@ -152,7 +166,10 @@ def _learn_group(prior: float):
     return run
 
 
-def fit(docs: DataFrame, labels: DataFrame) -> list[tuple[np.ndarray, np.ndarray, float]]:
+def fit(
+    docs: DataFrame, labels: DataFrame, prior: float | None = None,
+    max_positive: int = MAX_POSITIVE, max_unlabelled: int = MAX_UNLABELLED,
+) -> list[tuple[np.ndarray, np.ndarray, float]]:
     """Classifiers learned from rows that are not held out; none without a usable positive."""
     known = (
         labels.filter(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull())
@@ -160,22 +177,26 @@ def fit(docs: DataFrame, labels: DataFrame) -> list[tuple[np.ndarray, np.ndarray
         .groupBy("doc_id")
         .agg(F.max("toxic").alias("toxic"))
     )
-    prior = known.agg(F.avg((F.col("toxic") > 0).cast("double"))).first()[0]
-    if not prior or prior >= 1:
+    share = known.agg(F.avg((F.col("toxic") > 0).cast("double"))).first()[0]
+    if not share:
         return []
+    prior = prior if prior is not None else share if share < 1 else PRIOR
     by_hash = F.xxhash64("doc_id").alias("hash")
+    learnable = docs.filter(F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).select(
+        "doc_id", "text", F.xxhash64("text").alias("copy")
+    )
+    narrow = learnable.select("doc_id", "copy").distinct()
     positives = (
-        known.filter("toxic > 0").select("doc_id", by_hash, F.lit(True).alias("positive"))
-        .join(docs.select("doc_id").filter("doc_id is not null").distinct(), "doc_id", "left_semi")
-        .orderBy("hash", "doc_id").limit(MAX_POSITIVE)
+        narrow.join(known.filter("toxic > 0"), "doc_id", "left_semi")
+        .select("doc_id", "copy", by_hash, F.lit(True).alias("positive"))
+        .orderBy("hash", "doc_id", "copy").limit(max_positive)
     )
     others = (
-        docs.filter(F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
-        .select("doc_id", by_hash, F.lit(False).alias("positive"))
-        .orderBy("hash", "doc_id").limit(MAX_UNLABELLED)
+        narrow.select("doc_id", "copy", by_hash, F.lit(False).alias("positive"))
+        .orderBy("hash", "doc_id", "copy").limit(max_unlabelled)
     )
-    # At most MAX_POSITIVE + MAX_UNLABELLED narrow rows.
-    chosen = F.broadcast(positives.union(others).distinct())
+    # At most max_positive + max_unlabelled narrow rows.
+    chosen = F.broadcast(positives.union(others))
 
     @F.pandas_udf("string")
     def distinct_words(texts: pd.Series) -> pd.Series:
@@ -184,9 +205,9 @@ def fit(docs: DataFrame, labels: DataFrame) -> list[tuple[np.ndarray, np.ndarray
 
     every = F.array(*[F.lit(i).cast("long") for i in range(MODELS)])
     sample = (
-        docs.select("doc_id", "text")
-        .join(chosen, "doc_id")
+        learnable.join(chosen, ["doc_id", "copy"])
         .withColumn("text", distinct_words("text"))
+        .groupBy("doc_id", "copy", "hash", "positive").agg(F.first("text").alias("text"))
         .withColumn("part", F.pmod(F.col("hash"), F.lit(MODELS)))
         .withColumn("parts", F.when(F.col("positive"), every).otherwise(F.array("part")))
         .select("text", "positive", "hash", F.explode("parts").alias("model"))
