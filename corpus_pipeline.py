@@ -14,44 +14,54 @@ from webstrata.llm import bpe, mixing, ngram_join, quality, substrings
 from webstrata.operators.checkpoints import fresh_folder
 
 
-def _sized(docs: DataFrame, columns: list[str]) -> DataFrame:
-    """The given columns, with ``n_chars`` of the text as it is now."""
-    if "n_chars" in columns:
-        docs = docs.withColumn("n_chars", F.length("text").cast("long"))
-    return docs.select(*columns)
+def _packed(docs: DataFrame) -> DataFrame:
+    """``doc_id, text, source`` and the other columns as one, safe from an operator's own names."""
+    others = [F.col(f"`{c}`") for c in docs.columns if c != "text"]
+    return docs.select("doc_id", "text", "source", F.struct(*others).alias("row"))
+
+
+def _unpacked(rows: DataFrame, columns: list[str], cut: bool = True) -> DataFrame:
+    """The columns that were packed; where texts were cut, with ``n_chars`` of what they are now."""
+    now = {"text": F.col("text")} | ({"n_chars": F.length("text").cast("long")} if cut else {})
+    return rows.select(*[now.get(c, F.col(f"row.`{c}`")).alias(c) for c in columns])
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that fail the base rules, or whose host is rejected, go."""
-    return quality.judge(docs).filter("kept").select(*docs.columns)
+    return _unpacked(quality.judge(_packed(docs)).filter("kept"), docs.columns, cut=False)
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of similar documents the one of least ``doc_id`` stays.
+    """Of each component of similar documents the row of least ``doc_id``, NULL last, stays.
 
-    ``doc_id`` names a document: of rows with the same one, one stays. Rows without any stay.
+    A row is known by its ``doc_id`` and the hash of its text, so rows of one ``doc_id`` with texts of
+    different components all stay, and of copies without any one does. Rows without a word have no
+    copies and stay.
     """
-    joined = ngram_join.join(docs)
-    kept = joined.filter("n_shingles = 0 or component_id = doc_id").select("doc_id")
-    order = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"))
-    one = (
-        docs.join(kept, "doc_id", "left_semi")
-        .withColumn("_row", F.row_number().over(order))
-        .filter("_row = 1")
+    spoken = F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+    named = docs.filter(spoken).withColumns(
+        {"_n": F.col("doc_id").isNull(), "_id": F.coalesce("doc_id", F.lit(0)), "_h": F.xxhash64("text")}
     )
-    return one.select(*docs.columns).unionByName(docs.filter("doc_id is null"))
+    joined = ngram_join.join(named.select(F.struct("_n", "_id", "_h").alias("doc_id"), "text"))
+    kept = joined.filter("component_id = doc_id").select("doc_id.*").distinct()
+    key = ["_n", "_id", "_h"]
+    # Rows of one key are copies but for their other columns: one of them in the order of these.
+    others = [c for c, kind in docs.dtypes if c not in ("doc_id", "text") and "map" not in kind]
+    first = Window.partitionBy(*key).orderBy(F.xxhash64(*others) if others else F.lit(0))
+    one = named.withColumn("_row", F.row_number().over(first)).filter("_row = 1").join(kept, key)
+    return one.select(*docs.columns).unionByName(docs.filter(~spoken))
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Words of repeated passages go, and documents of which none are left."""
-    found = substrings.dedup(docs).filter("n_removed = 0 or n_removed < n_words")
+    found = substrings.dedup(_packed(docs)).filter("n_removed = 0 or n_removed < n_words")
     text = F.when(F.col("n_removed") > 0, F.col("kept_text")).otherwise(F.col("text"))
-    return _sized(found.withColumn("text", text), docs.columns)
+    return _unpacked(found.withColumn("text", text), docs.columns)
 
 
 def target_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row for each time a document is taken, with the words taken that time."""
-    return _sized(mixing.taken_text(mixing.mix(docs)), docs.columns)
+    return _unpacked(mixing.taken_text(mixing.mix(_packed(docs))), docs.columns)
 
 
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
