@@ -74,7 +74,7 @@ def test_intervals_are_the_occurrences(prose):
         for i in range(len(ids) - words + 1):
             if 0 not in ids[i : i + words]:
                 places[tuple(ids[i : i + words])].append(i)
-        found = list(zip(*[c.tolist() for c in index.columns()]))
+        found = [tuple(ids[s : s + words]) for s in index.starts().tolist()]
         assert sorted(found) == sorted(places)
         low, size, twin = index.level
         before, after = index.neighbours()

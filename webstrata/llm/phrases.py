@@ -1,19 +1,23 @@
 """Phrase collocation mining: an FM-index over word ids for each shard of documents.
 
 1. *Words.* A block of documents (see ``blocks``) is a shard. Its texts become one sequence of word
-   ids, one id for each (language, word), with breaks between pieces and documents. Words that
-   are rarer than ``LEAST`` over all shards can be in no candidate and become breaks; so do, in a
-   second exchange, the gaps inside pairs of words that are too rare. The exchanges tell words
-   and pairs apart by 64-bit hashes; a collision can only leave more in, never take a phrase out.
-2. *Index.* Each shard sorts its positions by the next ``DEPTH`` words, and those of the reversed
-   sequence likewise: two BWTs. A phrase is a pair of intervals of the same size, and extending it
-   to the left by every word that precedes it gives the longer phrases of the next level (rank
-   counts give the new interval, the counts of smaller words shift its twin). Both BWTs give the
-   words next to a phrase on either side.
-3. *Sum.* Counts are summed over shards by the phrase itself. All occurrences of a phrase are
-   next to one word exactly if every shard names one, and the same: then the longer phrase is as
-   frequent. These neighbours are told apart by 64-bit hashes.
-4. *Score.* Each cut of a candidate looks up its two parts, which are at least as frequent.
+   ids, one id for each (language, word), with breaks between pieces and documents.
+2. *Index.* A shard sorts its positions by the next words, and those of the reversed sequence
+   likewise: two BWTs. A phrase is a pair of intervals of the same size, and extending it to the left
+   by every word that precedes it gives the phrases of the next length (rank counts give the new
+   interval, the counts of smaller words shift its twin). Both BWTs tell whether one word alone
+   stands next to a phrase, on either side.
+3. *Filter.* Phrases of up to ``FILTERED`` words are counted over all shards by 40-bit hashes. Those
+   that reach ``LEAST`` go on, and longer phrases are made only where all parts of ``FILTERED`` words
+   do. A collision can only leave more in: no phrase is lost by the filter.
+4. *Sum.* What is left is counted by 96-bit hashes; the first shard that holds a frequent phrase
+   gives its words. Two of 10**10 phrases share a hash once in 10**9 tables. A phrase that two words
+   follow in one shard, and two precede in one, has no longer one that is as frequent; all others
+   are compared with those.
+5. *Score.* Each cut of a candidate looks up its two parts, which are at least as frequent.
+
+Shuffled are the distinct phrases of a shard, packed, at about three bytes each, so a very common
+word or phrase is one entry for each shard.
 
 Defined results: a NULL text is empty; a NULL ``lang`` is ``und``; repeated rows count each; an empty
 table gives an empty result; a text of any length is handled whole (a block holds at least one
@@ -39,28 +43,25 @@ from webstrata.llm.substrings import mixed, powers
 LEAST = 100
 DEPTH = 5
 TOP = 2000
+FILTERED = 3
 UNKNOWN = "und"
-SHARD_BYTES = 8 << 20
+#: Hashes of the filter keep their upper 40 bits.
+_KEPT = np.uint64(((1 << 40) - 1) << 24)
 _STEP = 0x9E3779B97F4A7C15
 #: Characters that end a piece become a line feed, the other blank between words a space.
 _ENDS = bytes.maketrans(b"\t.,;:!?\x0b\x0c\r", b" " + b"\n" * 9)
-_SENT = pa.schema(
+_SIZES = "array<struct<lang:string,n:long>>"
+_MADE = pa.schema(
     {
         "block": pa.int64(),
         "data": pa.binary(),
         "sizes": pa.list_(pa.struct({"lang": pa.string(), "n": pa.int64()})),
-        "parts": pa.list_(pa.struct({"bucket": pa.int32(), "blob": pa.binary()})),
     }
 )
+_PART = pa.list_(pa.struct({"bucket": pa.int32(), "blob": pa.binary()}))
+_SENT = pa.schema({"block": pa.int64(), "places": pa.binary(), "parts": _PART})
 _COUNTED = pa.schema(
-    {
-        "lang": pa.string(),
-        "phrase": pa.string(),
-        "words": pa.int32(),
-        "n": pa.int64(),
-        "before": pa.int64(),
-        "after": pa.int64(),
-    }
+    {"lang": pa.string(), "phrase": pa.string(), "words": pa.int32(), "n": pa.int64(), "alone": pa.bool_()}
 )
 
 
@@ -114,25 +115,6 @@ class Sequence:
         made = (xxhash.xxh3_64_intdigest(heads[x] + w) for x, w in zip(self.langs.tolist(), self.words, strict=True))
         return np.concatenate([np.zeros(1, np.uint64), np.fromiter(made, np.uint64, len(self.words))])
 
-    def only(self, alive: np.ndarray) -> Sequence:
-        """The sequence with the words that are not ``alive`` as breaks."""
-        place = np.zeros(len(self.words) + 1, np.int32)
-        place[1:][alive] = np.arange(1, alive.sum() + 1)
-        words = [w for w, keep in zip(self.words, alive.tolist(), strict=True) if keep]
-        return Sequence(_without_double_breaks(place[self.ids]), words, self.langs[alive], self.names)
-
-    def pairs(self) -> tuple[np.ndarray, np.ndarray]:
-        """Places of the words that another word follows, and the hashes of these pairs."""
-        at = np.flatnonzero((self.ids[:-1] > 0) & (self.ids[1:] > 0))
-        power = powers(_STEP, 2)
-        named = self.hashes()[self.ids]
-        return at, mixed(named[at] * power[0] + named[at + 1] * power[1])
-
-    def broken(self, after: np.ndarray) -> Sequence:
-        """The sequence with breaks behind the given places."""
-        ids = np.insert(self.ids, after + 1, 0)
-        return Sequence(ids, self.words, self.langs, self.names)
-
     def packed(self) -> bytes:
         return blocks.bundle(
             blocks.pack(self.ids), b"\n".join(self.words), blocks.pack(self.langs), "\0".join(self.names).encode()
@@ -192,15 +174,15 @@ class Index:
 
 
 class Bidirectional:
-    """Intervals of phrases in the index of a sequence and in that of the reversed one."""
+    """Intervals of phrases in the index of a sequence and, if wanted, in that of the reversed one."""
 
-    def __init__(self, ids: np.ndarray, symbols: int, depth: int = DEPTH) -> None:
+    def __init__(self, ids: np.ndarray, symbols: int, depth: int = DEPTH, both: bool = True) -> None:
         self.ids, self.symbols = ids, symbols
         self.ahead = Index(ids, depth, symbols)
-        self.behind = Index(ids[::-1], depth, symbols)
+        self.behind = Index(ids[::-1], depth, symbols) if both else None
         size = np.bincount(ids, minlength=symbols)
         word = np.flatnonzero(size[1:]) + 1
-        self.level = (self.ahead.first[word], size[word], self.behind.first[word])
+        self.level = (self.ahead.first[word], size[word], self.ahead.first[word])
         self.words = 1
 
     def extend(self) -> None:
@@ -216,10 +198,20 @@ class Bidirectional:
         self.level = (self.ahead.step(symbol, low[owner]), counts, twin[owner] + smaller)
         self.words += 1
 
-    def columns(self) -> list[np.ndarray]:
-        """The ids of the phrases of this level, word by word."""
-        start = self.ahead.order[self.level[0]]
-        return [self.ids[start + i] for i in range(self.words)]
+    def only(self, keep: np.ndarray) -> None:
+        """Go on with some phrases of this level."""
+        self.level = tuple(part[keep] for part in self.level)
+
+    def starts(self) -> np.ndarray:
+        """A place in the sequence where each phrase of this level stands."""
+        return self.ahead.order[self.level[0]]
+
+    def hashes(self, named: np.ndarray, salt: int = 0) -> np.ndarray:
+        """64-bit hash of each phrase of this level from its words' hashes, in order."""
+        start, sums = self.starts(), np.uint64(self.words + (salt << 8))
+        for i, power in enumerate(powers(_STEP + 2 * salt, self.words)):
+            sums = sums + named[self.ids[start + i]] * power
+        return mixed(sums)
 
     def neighbours(self) -> tuple[np.ndarray, np.ndarray]:
         """The one word before, and the one after, all occurrences of each phrase; else 0."""
@@ -227,145 +219,233 @@ class Bidirectional:
         return self.ahead.single(low, size), self.behind.single(twin, size)
 
 
-def _parts(tokens: np.ndarray, buckets: int) -> list[dict]:
-    """Distinct tokens with their counts by bucket."""
-    names, counts = np.unique(tokens, return_counts=True)
-    places = blocks.split_by_bucket(names, buckets) if len(names) else []
-    counts = counts.astype(np.uint32)
-    return [
-        {"bucket": b, "blob": blocks.bundle(blocks.pack_sorted(names[s]), blocks.pack(counts[s]))}
-        for b, s in places
-    ]
-
-
-def _enough(least: int):
-    """For each block's tokens, a bit: at least ``least`` occurrences over all blocks."""
-
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        sent = [blocks.unbundle(blob) for blob in group["blob"]]
-        tokens = [blocks.unpack_sorted(s[0], np.uint64) for s in sent]
-        counts = np.concatenate([blocks.unpack(s[1], np.uint32) for s in sent]).astype(np.int64)
-        names, place = np.unique(np.concatenate(tokens), return_inverse=True)
-        enough = (np.bincount(place.reshape(-1), counts) >= least)[place.reshape(-1)]
-        edges = np.cumsum([0, *map(len, tokens)]).tolist()
-        bits = [
-            blocks.bundle(np.int64(b - a).tobytes(), np.packbits(enough[a:b]).tobytes())
-            for a, b in zip(edges, edges[1:])
-        ]
-        return pd.DataFrame({"block": group["block"], "bucket": group["bucket"], "blob": bits})
-
-    return run
-
-
-def _alive(tokens: np.ndarray, answers) -> np.ndarray:
-    """Which of a block's ``tokens`` are frequent by the answers it got."""
-    bits = [np.zeros(0, bool)]
-    for _, blob in blocks.by_bucket(answers):
-        count, packed = blocks.unbundle(blob)
-        bits.append(np.unpackbits(np.frombuffer(packed, np.uint8), count=int(np.frombuffer(count, np.int64)[0])).astype(bool))
-    names, place = np.unique(tokens, return_inverse=True)
-    return np.concatenate(bits)[place.reshape(-1)] if len(names) else np.zeros(0, bool)
-
-
-def _sent(number: int, made: Sequence, tokens: np.ndarray, buckets: int, sizes: list[dict]) -> pa.RecordBatch:
-    row = {"block": [number], "data": [made.packed()], "sizes": [sizes], "parts": [_parts(tokens, buckets)]}
-    return pa.RecordBatch.from_pydict(row, _SENT)
-
-
-def _words(buckets: int, limit: int):
-    """Texts → sequences, and how often each word occurs."""
+def _words(limit: int):
+    """Texts → sequences, and the words of each language."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for number, table in blocks.cut(batches, limit):
             made = Sequence.of(table.column("text").to_pylist(), table.column("lang").to_pylist())
-            yield _sent(number, made, made.hashes()[made.ids[made.ids > 0]], buckets, made.sizes())
+            row = {"block": [number], "data": [made.packed()], "sizes": [made.sizes()]}
+            yield pa.RecordBatch.from_pydict(row, _MADE)
 
     return run
 
 
-def _pairs(buckets: int):
-    """Sequences of frequent words, and how often each pair of them occurs."""
+def _short(buckets: int, filtered: int):
+    """How often each phrase of up to ``filtered`` words occurs in a shard, by 40-bit hashes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
                 made = Sequence.unpacked(row["data"])
-                made = made.only(_alive(made.hashes()[1:], row["answers"]))
-                yield _sent(row["block"], made, made.pairs()[1], buckets, [])
+                named = made.hashes()
+                index = Bidirectional(made.ids, len(made.words) + 1, filtered, both=False)
+                tokens, counts = [], []
+                while True:
+                    tokens.append(index.hashes(named) & _KEPT)
+                    counts.append(index.level[1])
+                    if index.words == filtered:
+                        break
+                    index.extend()
+                tokens, place = np.unique(np.concatenate(tokens), return_inverse=True)
+                counts = np.bincount(place.reshape(-1), np.concatenate(counts), len(tokens)).astype(np.uint32)
+                parts = [
+                    {"bucket": b, "blob": blocks.bundle(blocks.pack_sorted(tokens[s] >> np.uint64(24)), blocks.pack(counts[s]))}
+                    for b, s in (blocks.split_by_bucket(tokens, buckets) if len(tokens) else [])
+                ]
+                yield pa.RecordBatch.from_pydict({"block": [row["block"]], "places": [None], "parts": [parts]}, _SENT)
+
+    return run
+
+
+def _frequent(least: int):
+    """Of each block's tokens those with at least ``least`` occurrences over all blocks."""
+
+    def run(group: pd.DataFrame) -> pd.DataFrame:
+        sent = [blocks.unbundle(blob) for blob in group["blob"]]
+        tokens = [blocks.unpack_sorted(s[0], np.uint64) for s in sent]
+        counts = np.concatenate([blocks.unpack(s[1], np.uint32) for s in sent])
+        every = np.concatenate(tokens)
+        order = np.argsort(every, kind="stable")
+        first = np.flatnonzero(np.diff(every[order], prepend=every[order[:1]] + np.uint64(1)))
+        enough = np.add.reduceat(counts[order].astype(np.int64), first) >= least
+        alive = np.empty(len(every), bool)
+        alive[order] = np.repeat(enough, np.diff(np.append(first, len(every))))
+        ends = np.cumsum([len(t) for t in tokens]).tolist()
+        blobs = [blocks.pack_sorted(t[alive[e - len(t) : e]]) for t, e in zip(tokens, ends, strict=True)]
+        return pd.DataFrame({"block": group["block"], "bucket": group["bucket"], "blob": blobs})
 
     return run
 
 
-def _phrases(depth: int):
-    """Phrases of frequent pairs with their counts in the shard and their only neighbours."""
+def _long(buckets: int, filtered: int, depth: int):
+    """All phrases of a shard that the filter leaves, with counts and neighbours, by 96-bit hashes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
                 made = Sequence.unpacked(row["data"])
-                at, tokens = made.pairs()
-                made = made.broken(at[~_alive(tokens, row["answers"])])
-                if made.words:
-                    yield from _enumerated(made, depth)
+                found = [blocks.unpack_sorted(blob, np.uint64) for _, blob in blocks.by_bucket(row["answers"])]
+                alive = np.concatenate([np.zeros(0, np.uint64), *found]) << np.uint64(24)
+                yield _sent(row["block"], made, alive, buckets, filtered, depth)
 
     return run
 
 
-def _enumerated(made: Sequence, depth: int) -> Iterator[pa.RecordBatch]:
-    words = pa.array([None, *[w.decode() for w in made.words]], pa.string())
-    langs = pa.array(made.names, pa.string())
-    hashes = made.hashes().view(np.int64)
+def _sent(block: int, made: Sequence, alive: np.ndarray, buckets: int, filtered: int, depth: int) -> pa.RecordBatch:
+    named = made.hashes()
     index = Bidirectional(made.ids, len(made.words) + 1, depth)
+    whole = np.zeros(len(made.ids), bool)  # where a phrase of ``filtered`` words that goes on stands
+    columns = []
     while True:
-        columns = index.columns()
-        before, after = index.neighbours() if index.words < depth else [np.zeros(len(columns[0]), np.int64)] * 2
-        table = pa.table(
-            [
-                langs.take(pa.array(made.langs[columns[0] - 1])),
-                pc.binary_join_element_wise(*[words.take(pa.array(c)) for c in columns], " "),
-                pa.array(np.full(len(columns[0]), index.words, np.int32)),
-                pa.array(index.level[1].astype(np.int64)),
-                pa.array(hashes[before]),
-                pa.array(hashes[after]),
-            ],
-            schema=_COUNTED,
-        )
-        yield from table.to_batches(max_chunksize=50_000)
-        if index.words == depth:
-            return
+        if index.words <= filtered:
+            index.only(np.isin(index.hashes(named) & _KEPT, alive))
+            if index.words == filtered:
+                low, size, _ = index.level
+                shift = low - (np.cumsum(size) - size)
+                whole[index.ahead.order[np.arange(int(size.sum())) + np.repeat(shift, size)]] = True
+        else:
+            index.only(whole[index.starts()])
+        before, after = index.neighbours()
+        columns.append(
+            (
+                index.hashes(named), (index.hashes(named, 1) >> np.uint64(32)).astype(np.uint32),
+                index.level[1].astype(np.uint32), (before > 0).astype(np.uint8) + 2 * (after > 0).astype(np.uint8),
+                index.starts().astype(np.uint32), np.full(len(before), index.words, np.uint8),
+            )
+        )
+        if index.words == depth or not len(before):
+            break
         index.extend()
+    token, check, counts, sides, starts, words = (np.concatenate(c) for c in zip(*columns, strict=True))
+    order = np.lexsort((check, token))
+    token, check, counts, sides = token[order], check[order], counts[order], sides[order]
+    split = blocks.split_by_bucket(token, buckets) if len(token) else []
+    parts = [
+        {
+            "bucket": b,
+            "blob": blocks.bundle(
+                blocks.pack_sorted(token[s]), blocks.pack(check[s]), blocks.pack(counts[s]), blocks.pack(sides[s])
+            ),
+        }
+        for b, s in split
+    ]
+    held = np.array([(b, s.stop - s.start) for b, s in split], np.int64).reshape(-1)
+    places = blocks.bundle(blocks.pack(starts[order]), blocks.pack(words[order]), blocks.pack(held))
+    return pa.RecordBatch.from_pydict({"block": [block], "places": [places], "parts": [parts]}, _SENT)
+
 
+def _summed(least: int):
+    """Frequent phrases of a bucket: to the first block that holds one, its place there, its count
+    and whether no longer phrase can be as frequent."""
 
-def counted(docs: DataFrame, least: int = LEAST, depth: int = DEPTH, limit: int = SHARD_BYTES) -> tuple[DataFrame, DataFrame]:
-    """``lang, phrase, words, n, extended`` of phrases of up to ``depth`` words that occur at least
+    def run(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.sort_values("block", kind="stable")
+        sent = [blocks.unbundle(blob) for blob in group["blob"]]
+        tokens = [blocks.unpack_sorted(s[0], np.uint64) for s in sent]
+        sizes = np.array([len(t) for t in tokens])
+        token = np.concatenate(tokens)
+        check = np.concatenate([blocks.unpack(s[1], np.uint32) for s in sent])
+        counts = np.concatenate([blocks.unpack(s[2], np.uint32) for s in sent]).astype(np.int64)
+        sides = np.concatenate([blocks.unpack(s[3], np.uint8) for s in sent])
+        owner = np.repeat(np.arange(len(sizes)), sizes)
+        place = np.arange(len(token)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        order = np.lexsort((check, token))  # stable: the first block's entry comes first
+        new = np.ones(len(order), bool)
+        new[1:] = (np.diff(token[order]) != 0) | (np.diff(check[order]) != 0)
+        first = np.flatnonzero(new)
+        total = np.add.reduceat(counts[order], first)
+        single = np.bitwise_and.reduceat(sides[order], first)
+        enough = total >= least
+        at, total, alone = order[first[enough]], total[enough], (single[enough] == 0).astype(np.uint8)
+        out = []
+        for i in np.unique(owner[at]).tolist():
+            own = np.flatnonzero(owner[at] == i)
+            blob = blocks.bundle(
+                blocks.pack(place[at[own]].astype(np.uint32)), blocks.pack(total[own]), blocks.pack(alone[own])
+            )
+            out.append((group["block"].iloc[i], group["bucket"].iloc[i], blob))
+        return pd.DataFrame(out, columns=["block", "bucket", "blob"])
+
+    return run
+
+
+def _told(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The words of the frequent phrases that a block was asked for."""
+    for batch in batches:
+        for row in batch.to_pylist():
+            made = Sequence.unpacked(row["data"])
+            starts, words, held = blocks.unbundle(row["places"])
+            starts, words = blocks.unpack(starts, np.uint32).astype(np.int64), blocks.unpack(words, np.uint8)
+            held = blocks.unpack(held, np.int64).reshape(-1, 2)
+            shift = dict(zip(held[:, 0].tolist(), (np.cumsum(held[:, 1]) - held[:, 1]).tolist(), strict=True))
+            found = [(bucket, blocks.unbundle(blob)) for bucket, blob in blocks.by_bucket(row["answers"])]
+            at = np.concatenate([blocks.unpack(b[0], np.uint32).astype(np.int64) + shift[k] for k, b in found])
+            total = np.concatenate([blocks.unpack(b[1], np.int64) for _, b in found])
+            alone = np.concatenate([blocks.unpack(b[2], np.uint8) for _, b in found])
+            known = pa.array([None, *[w.decode() for w in made.words]], pa.string())
+            langs = pa.array(made.names, pa.string())
+            for count in np.unique(words[at]).tolist():
+                own = np.flatnonzero(words[at] == count)
+                ids = [made.ids[starts[at[own]] + i] for i in range(count)]
+                table = pa.table(
+                    [
+                        langs.take(pa.array(made.langs[ids[0] - 1])),
+                        pc.binary_join_element_wise(*[known.take(pa.array(c)) for c in ids], " "),
+                        pa.array(np.full(len(own), count, np.int32)),
+                        pa.array(total[own]),
+                        pa.array(alone[own] > 0),
+                    ],
+                    schema=_COUNTED,
+                )
+                yield from table.to_batches(max_chunksize=50_000)
+
+
+def counted(
+    docs: DataFrame, least: int = LEAST, depth: int = DEPTH, limit: int = blocks.BLOCK_BYTES
+) -> tuple[DataFrame, DataFrame]:
+    """``lang, phrase, words, n, alone`` of phrases of up to ``depth`` words that occur at least
     ``least`` times in texts of their language, and ``lang, n`` words of each language.
 
-    ``extended`` tells whether a phrase one word longer is as frequent.
+    A phrase is ``alone`` if it is known that no phrase one word longer is as frequent.
     """
-    buckets = blocks.bucket_count(docs)
-    sent = f"block long, data binary, sizes array<struct<lang:string,n:long>>, parts array<{blocks.PART}>"
-    first = blocks.store(docs.select("text", "lang").mapInArrow(_words(buckets, limit), sent), "phrase-words")
-    answers = blocks.exchange(first.select("block", "parts"), _enough(least))
-    joined = blocks.with_answers(first.select("block", "data"), answers)
-    second = blocks.store(joined.mapInArrow(_pairs(buckets), sent), "phrase-pairs")
-    answers = blocks.exchange(second.select("block", "parts"), _enough(least))
-    joined = blocks.with_answers(second.select("block", "data"), answers)
-    found = joined.mapInArrow(_phrases(depth), "lang string, phrase string, words int, n long, before long, after long")
-    same = lambda c: (F.min(c) == F.max(c)) & (F.min(c) != 0)
-    counts = (
-        found.groupBy("lang", "phrase", "words")
-        .agg(F.sum("n").alias("n"), (same("before") | same("after")).alias("extended"))
-        .filter(F.col("n") >= least)
+    buckets, filtered = blocks.bucket_count(docs), min(FILTERED, depth)
+    sent = f"block long, places binary, parts array<{blocks.PART}>"
+    texts = blocks.store(
+        docs.select("text", "lang").mapInArrow(_words(limit), f"block long, data binary, sizes {_SIZES}"), "phrase-words"
     )
-    sizes = first.select(F.explode("sizes").alias("s")).groupBy("s.lang").agg(F.sum("s.n").alias("n"))
-    return stored(counts, "phrase-counts"), sizes
+    data = texts.select("block", "data")
+    answers = blocks.exchange(data.mapInArrow(_short(buckets, filtered), sent), _frequent(least))
+    joined = blocks.with_answers(data, answers)
+    made = blocks.store(joined.mapInArrow(_long(buckets, filtered, depth), sent), "phrase-counts")
+    answers = blocks.exchange(made.select("block", "parts"), _summed(least))
+    told = data.join(made.select("block", "places"), "block").join(answers, "block")
+    counts = told.mapInArrow(_told, "lang string, phrase string, words int, n long, alone boolean")
+    sizes = texts.select(F.explode("sizes").alias("s")).groupBy("s.lang").agg(F.sum("s.n").alias("n"))
+    return stored(counts, "phrases"), sizes
 
 
-def collocations(docs: DataFrame, least: int = LEAST, depth: int = DEPTH, top: int = TOP, limit: int = SHARD_BYTES) -> DataFrame:
+def candidates(counts: DataFrame, depth: int = DEPTH) -> DataFrame:
+    """Phrases of two words or more that stand in no longer counted one as frequent as they are.
+
+    One word longer is enough: of the phrases between the two, each is as frequent as both.
+    """
+    longer = counts.filter("words > 2").select("lang", F.col("n").alias("_n"), F.split("phrase", " ").alias("_w"))
+    parts = F.array(F.slice("_w", F.lit(1), F.size("_w") - 1), F.slice("_w", F.lit(2), F.size("_w") - 1))
+    inner = longer.select("lang", "_n", F.explode(parts).alias("_p"))
+    inner = inner.select("lang", F.array_join("_p", " ").alias("phrase"), "_n")
+    inner = inner.groupBy("lang", "phrase").agg(F.max("_n").alias("_n"))
+    wanted = counts.filter("words > 1")
+    open_ = wanted.filter((F.col("words") < depth) & ~F.col("alone")).join(inner, ["lang", "phrase"], "left")
+    kept = open_.filter(F.coalesce(F.col("_n") < F.col("n"), F.lit(True))).drop("_n")
+    return wanted.filter((F.col("words") == depth) | F.col("alone")).unionByName(kept)
+
+
+def collocations(docs: DataFrame, least: int = LEAST, depth: int = DEPTH, top: int = TOP, limit: int = blocks.BLOCK_BYTES) -> DataFrame:
     """``lang, rank, phrase, a, l, r, n, score`` of the best ``top`` phrases of each language."""
     counts, sizes = counted(docs, least, depth, limit)
     cuts = (
-        counts.filter("words > 1 and not extended")
+        candidates(counts, depth)
         .select("lang", "phrase", F.col("n").alias("a"), F.split("phrase", " ").alias("_w"), F.explode(F.sequence(F.lit(1), F.col("words") - 1)).alias("_k"))
         .select(
             "lang", "phrase", "a", "_k",
