@@ -4,6 +4,7 @@ import json
 from pyspark.sql import functions as F
 
 from webstrata.operators import enrich, metrics
+from webstrata.operators import boosting
 from webstrata.plans import enrichment, scoring, training
 from webstrata.showcase import queries
 from webstrata.sources import sinks, tables
@@ -181,9 +182,9 @@ def test_training_run(spark, folder, tmp_path):
 
 
 def test_early_stopping_has_patience():
-    assert training.best_round([3, 2, 2.5, 1, 1.5, 1.2], 2) == 4
-    assert training.best_round([3, 2, 2.5, 2.4, 1], 2) == 2
-    assert training.best_round([1.0], 50) == 1
+    assert boosting.best_round([3, 2, 2.5, 1, 1.5, 1.2], 2) == 4
+    assert boosting.best_round([3, 2, 2.5, 2.4, 1], 2) == 2
+    assert boosting.best_round([1.0], 50) == 1
 
 
 def test_captures_of_a_url_are_folded(spark, rows, tmp_path):

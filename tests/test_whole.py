@@ -2,7 +2,6 @@
 
 from dataclasses import replace
 
-from pyspark.ml.functions import array_to_vector
 from pyspark.sql import functions as F
 
 from webstrata.functions import urls
@@ -72,16 +71,3 @@ def test_registered_models_do_the_whole_job(spark, folder, monkeypatch):
     assert len(used) == 5
     assert [replace(config, min_leaf_rows=default.min_leaf_rows) for config in used] == [default] * 5
     assert queries.feature_table(spark, folder).first()["width"] == 65_536 + 15
-
-
-def test_each_class_stops_early(spark):
-    """Labels without any relation to the columns: later rounds do not help on other rows."""
-    rows = spark.range(300).select(
-        F.expr("cast(abs(hash(id)) % 3 as int)").alias("label"),
-        array_to_vector(F.expr("array(rand(1), rand(2))")).alias("features"),
-        (F.col("id") % 2 == 0).alias("is_validation"),
-    )
-    config = training.Training(rounds=12, patience=1, step_size=0.9, min_leaf_rows=1)
-    model = training.fit_trees(rows, config, 3)
-    assert [m.getNumTrees < 12 for m in model.models] == [True] * 3
-    assert model.transform(rows).filter("prediction in (0, 1, 2)").count() == 300

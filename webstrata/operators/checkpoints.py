@@ -29,14 +29,15 @@ def fresh_folder(spark: SparkSession, name: str) -> str:
     return f"{checkpoint_root(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def bucketed(df: DataFrame, key: str, name: str) -> DataFrame:
-    """``df`` stored below the checkpoint folder in buckets of ``key``.
+def bucketed(df: DataFrame, key: str, name: str, buckets: int | None = None) -> DataFrame:
+    """``df`` stored below the checkpoint folder in buckets of ``key``, one a shuffle partition if no
+    number is given.
 
     Joins on the key move only their other side, as often as they run.
     """
     folder = fresh_folder(df.sparkSession, name)
     table = folder.rsplit("/", 1)[1].replace("-", "_")
-    buckets = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    buckets = buckets or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     writer = df.repartition(buckets, key).write.bucketBy(buckets, key).sortBy(key)
     writer.option("path", folder).saveAsTable(table)
     return df.sparkSession.table(table)

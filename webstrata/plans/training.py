@@ -1,8 +1,7 @@
 """Step 3: features, models, evaluation and artifacts.
 
-Every model sees all columns: hashed text, URL, structural and content features. Boosted trees in
-Spark keep a row's columns as dense bin numbers, four bytes each, so ``buckets`` decides how
-much memory a row takes there. Logistic regression takes the sparse vector.
+Every model sees all columns: hashed text, URL, structural and content features. Boosted trees (see
+``operators/boosting.py``) and logistic regression both take the sparse vector.
 """
 
 from __future__ import annotations
@@ -10,7 +9,7 @@ from __future__ import annotations
 from dataclasses import asdict, dataclass
 
 from pyspark.ml import Pipeline, PipelineModel, Transformer
-from pyspark.ml.classification import GBTClassifier, LogisticRegression, OneVsRestModel
+from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import (
     HashingTF,
     Normalizer,
@@ -23,8 +22,7 @@ from pyspark.sql import functions as F
 
 from webstrata import settings
 from webstrata.functions import keys, labels
-from webstrata.operators import metrics, split, vocabulary
-from webstrata.operators.checkpoints import checkpoint_root
+from webstrata.operators import boosting, metrics, split, vocabulary
 from webstrata.plans.stages import CharNgrams, PageFeatures, WordNgrams
 from webstrata.sources import sinks
 
@@ -41,7 +39,8 @@ class Training:
     vocabulary: int = settings.WORD_VOCABULARY  # of the content-only model
     rounds: int = settings.BOOSTING["rounds"]
     step_size: float = settings.BOOSTING["step_size"]
-    depth: int = 5  # 32 leaves at most; trees grow level by level
+    depth: int = 5  # trees grow level by level, the best cuts of a level first
+    leaves: int = settings.BOOSTING["leaves"]
     max_bins: int = settings.BOOSTING["max_bins"]
     row_share: float = settings.BOOSTING["row_share"]
     column_share: float = settings.BOOSTING["column_share"]
@@ -95,74 +94,24 @@ def widths(features: DataFrame) -> dict[str, int]:
     }
 
 
-def boosted(config: Training, column: str = "features") -> GBTClassifier:
-    return GBTClassifier(
-        featuresCol=column,
-        labelCol="label",
-        maxIter=config.rounds,
-        stepSize=config.step_size,
-        maxDepth=config.depth,
-        maxBins=config.max_bins,
-        subsamplingRate=config.row_share,
-        featureSubsetStrategy=str(config.column_share),
-        minInstancesPerNode=config.min_leaf_rows,
-        seed=config.seed,
-    )
-
-
-def best_round(losses: list[float], patience: int) -> int:
-    """Rounds to keep: up to the least loss that ``patience`` later rounds do not improve on."""
-    best = 0
-    for i, loss in enumerate(losses):
-        if loss < losses[best]:
-            best = i
-        elif i - best >= patience:
-            break
-    return best + 1
+def growth(config: Training) -> boosting.Growth:
+    names = boosting.Growth.__dataclass_fields__
+    return boosting.Growth(**{name: getattr(config, name) for name in names})
 
 
-def fit_stopped(trees: GBTClassifier, train: DataFrame, validation: DataFrame, config: Training):
-    """Fit until ``patience`` rounds do not improve on the log-loss of the validation rows.
+def fit_trees(
+    rows: DataFrame, config: Training, classes: int, column: str = "features"
+) -> boosting.BoostedTrees:
+    """Boosted trees over ``column``, stopped early by the rows with ``is_validation``.
 
-    Rounds depend on earlier ones only and the seed is fixed, so fitting again with other
-    rounds gives the same first trees: doubling the rounds until the stop is reached gives what
-    fitting all of them first would.
+    More than two classes share their rounds: one tree for each class, soft-max over their scores.
     """
-    if validation.isEmpty():
-        return trees.fit(train)
-    rounds = min(config.rounds, 2 * config.patience)
-    while True:
-        model = trees.copy({trees.maxIter: rounds}).fit(train)
-        keep = best_round(model.evaluateEachIteration(validation), config.patience)
-        if rounds == config.rounds or rounds - keep >= config.patience:
-            break
-        rounds = min(config.rounds, 2 * rounds)
-    return model if keep == rounds else trees.copy({trees.maxIter: keep}).fit(train)
-
-
-def fit_trees(rows: DataFrame, config: Training, classes: int, column: str = "features"):
-    """Boosted trees over ``column``, stopped early by the validation rows.
-
-    For more than two classes there is one model per class, each with a stop of its own, and
-    the most probable class wins.
-    """
-    checkpoint_root(rows.sparkSession)
-    trees = boosted(config, column)
-    train = rows.filter(~F.col("is_validation"))
-    validation = rows.filter("is_validation")
-    if classes <= 2:
-        return fit_stopped(trees, train, validation, config)
-    models = []
-    for c in range(classes):
-        own = (F.col("label") == c).cast("int")
-        parts = [part.withColumn("label", own) for part in (train, validation)]
-        models.append(fit_stopped(trees, *parts, config))
-    return OneVsRestModel(models).setFeaturesCol(column)
+    return boosting.fit(rows, column, classes, growth(config))
 
 
 def split_parts(rows: DataFrame, key: str, config: Training) -> tuple[DataFrame, DataFrame]:
-    """(train with ``is_validation``, test)."""
-    parted = split.with_parts(rows, key, config.test_share, config.validation_share)
+    """(train with ``is_validation``, test): exact shares of every label, by the hash of the key."""
+    parted = split.stratified_parts(rows, key, "label", config.test_share, config.validation_share)
     train = parted.filter(F.col("part") != "test").withColumn(
         "is_validation", F.col("part") == "validation"
     )
@@ -171,10 +120,8 @@ def split_parts(rows: DataFrame, key: str, config: Training) -> tuple[DataFrame,
 
 def fit_boosted(features: DataFrame, config: Training, classes: int) -> PipelineModel:
     """Fit on all columns of stored feature rows (with ``is_validation``)."""
-    vectors = features.select("label", "is_validation", "features").persist()
-    trees = fit_trees(vectors, config, classes, "features")
-    vectors.unpersist()
-    return PipelineModel(stages=[trees])
+    vectors = features.select("label", "is_validation", "features")
+    return PipelineModel(stages=[fit_trees(vectors, config, classes, "features")])
 
 
 def fit_linear(
@@ -226,7 +173,7 @@ def fit_content_only(train: DataFrame, config: Training) -> tuple[PipelineModel,
     tfidf, names = fit_tfidf(train, ngrams, config.vocabulary)
     vectors = tfidf.transform(train).select("label", "is_validation", "tfidf").persist()
     trees = fit_trees(vectors, config, 2, "tfidf")
-    vectors.unpersist()
+    vectors.unpersist()  # the trees grew over stored blocks
     return PipelineModel(stages=[*tfidf.stages, trees]), names
 
 
@@ -242,12 +189,17 @@ def fit_url_only(train: DataFrame, config: Training) -> tuple[PipelineModel, lis
 def feature_importance(
     spark: SparkSession, model: PipelineModel, names: list[str], top: int = 25
 ) -> DataFrame:
-    """``feature, importance`` of the ``top`` most used columns of a boosted model."""
-    values = model.stages[-1].featureImportances.toArray()
-    pairs = [(n, float(v)) for n, v in zip(names, values)]
+    """``feature, importance, gain`` of the ``top`` columns that most cuts of a boosted model use:
+    the number of cuts and the sum of their gains, over the table of its nodes."""
+    cuts = model.stages[-1].nodes(spark).filter("column >= 0")
+    counted = cuts.groupBy("column").agg(
+        F.count(F.lit(1)).alias("importance"), F.sum("gain").alias("gain")
+    )
+    named = spark.createDataFrame(list(enumerate(names)), "column int, feature string")
     return (
-        spark.createDataFrame(pairs, "feature string, importance double")
-        .orderBy(F.desc("importance"), "feature")
+        counted.join(named, "column")
+        .select("feature", "importance", "gain")
+        .orderBy(F.desc("importance"), F.desc("gain"), "feature")
         .limit(top)
     )
 
@@ -336,10 +288,14 @@ def run(
     train, test = split_parts(rows, "url", config)
     fitted = fit_boosted(train, config, classes)
     save(whole_model(config, fitted), f"{out}/model")
+    # The hold-out is scored once; counts of (label, prediction) are all that the reports need.
     scored = fitted.transform(test).select("label", F.col("prediction").cast("int"))
-    matrix = metrics.confusion_matrix(scored, "label", "prediction")
+    pairs = f"{out}/predictions"
+    metrics.counted_pairs(scored, "label", "prediction").write.mode("overwrite").parquet(pairs)
+    counts = spark.read.parquet(pairs)
+    matrix = metrics.confusion_matrix(counts, "label", "prediction", weight="n")
     sinks.write_report(matrix, f"{out}/confusion")
-    found = report(fitted.transform(test), multiclass=classes > 2)
+    found = metrics.classification_report(counts, "label", "prediction", weight="n")
     sinks.write_report(found, f"{out}/report")
-    sinks.write_report(manifest(found, config), f"{out}/manifest")
+    sinks.write_report(manifest(spark.read.json(f"{out}/report"), config), f"{out}/manifest")
     return spark.read.json(f"{out}/report")

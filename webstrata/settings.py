@@ -42,6 +42,7 @@ SEED = 42
 BOOSTING = {
     "step_size": 0.08,
     "rounds": 400,
+    "leaves": 21,
     "max_bins": 63,
     "column_share": 0.7,
     "row_share": 0.7,
