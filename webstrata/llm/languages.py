@@ -20,7 +20,7 @@ added one give way to it, others are kept.
 
 from __future__ import annotations
 
-import zlib
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -32,27 +32,38 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from webstrata.llm.common import stored
+from webstrata.llm.substrings import mixed, powers
 from webstrata.llm.toxicity import held_out
 
 MAX_A_LANGUAGE = 800
 MAX_A_FAMILY = 8000
 SNIPPET = 8
-BUCKETS = 1 << 14
+BITS = 14
+BUCKETS = 1 << BITS
 GRAMS = (1, 2, 3, 4)
 STEPS, RATE, DECAY = 150, 0.05, 1e-4
 MIN_ROWS = 3
 UNKNOWN = "und"
-#: Longer words are looked at each time they occur.
-KNOWN_CHARS, KNOWN_WORDS = 64, 500_000
+_STEP = 0x9E3779B97F4A7C15
 #: Texts of so many bytes are scored at once.
 SLICE_BYTES = 8 << 20
 
 
-def grams(word: str) -> tuple[np.ndarray, np.ndarray]:
-    """Buckets of a word's character n-grams, its borders marked, and how many fall into each."""
-    marked = f"^{word}$"
-    made = [marked[i : i + n] for n in GRAMS for i in range(len(marked) - n + 1)]
-    return np.unique([zlib.crc32(g.encode("utf-8", "replace")) % BUCKETS for g in made], return_counts=True)
+def grams(words: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """For each length of n-gram: the word and the bucket of every character n-gram, borders marked.
+
+    A bucket is the upper bits of a polynomial over code points, mixed.
+    """
+    joined = "".join(f"^{w}$" for w in words).encode("utf-32-le", "surrogatepass")
+    points = np.frombuffer(joined, "<u4").astype(np.uint64)
+    owner = np.repeat(np.arange(len(words)), np.fromiter(map(len, words), np.int64, len(words)) + 2)
+    for n in GRAMS:
+        count = max(len(points) - n + 1, 0)
+        sums = np.full(count, n, np.uint64)
+        for i, power in enumerate(powers(_STEP, n)):
+            sums += points[i : count + i] * power
+        inside = np.flatnonzero(owner[:count] == owner[n - 1 :])
+        yield owner[inside], (mixed(sums[inside]) >> np.uint64(64 - BITS)).astype(np.int64)
 
 
 def word_lists(texts: pa.Array) -> pa.ListArray:
@@ -74,11 +85,11 @@ def slices(texts: pa.Array, limit: int = SLICE_BYTES) -> Iterator[pa.Array]:
 
 def vector(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """Buckets of a text and the share of its n-grams in each."""
-    names, times = np.unique([w for w in words if w], return_counts=True)
+    times = Counter(w for w in words if w)
+    counts = np.fromiter(times.values(), np.float64, len(times))
     total = np.zeros(BUCKETS)
-    for word, n in zip(names.tolist(), times.tolist(), strict=True):
-        bucket, count = grams(word)
-        total[bucket] += n * count
+    for word, bucket in grams(list(times)):
+        total += np.bincount(bucket, counts[word], BUCKETS)
     held = np.flatnonzero(total)
     return held, total[held] / max(total.sum(), 1)
 
@@ -149,25 +160,20 @@ class Model:
     weights: np.ndarray  # buckets by machines
     biases: np.ndarray
 
-    def __post_init__(self) -> None:
-        self.known: dict[str, np.ndarray] = {}
-
-    def word(self, word: str) -> np.ndarray:
-        """Sums of the machines' weights over a word's n-grams, and the number of these."""
-        found = self.known.get(word)
-        if found is None:
-            bucket, count = grams(word)
-            found = np.append(count @ self.weights[bucket], count.sum()) if word else np.zeros(len(self.biases) + 1)
-            if len(self.known) > KNOWN_WORDS:
-                self.known.clear()
-            if len(word) <= KNOWN_CHARS:
-                self.known[word] = found
-        return found
+    def words(self, words: list[str]) -> np.ndarray:
+        """For each word the sums of the machines' weights over its n-grams, and the number of these."""
+        sums = np.zeros((len(words), len(self.biases) + 1))
+        for owner, bucket in grams(words):
+            for i in range(len(self.biases)):
+                sums[:, i] += np.bincount(owner, self.weights[bucket, i], len(words))
+            sums[:, -1] += np.bincount(owner, minlength=len(words))
+        sums[[not w for w in words]] = 0  # what stands at the ends of a text
+        return sums
 
     def margins(self, lists: pa.ListArray) -> np.ndarray:
         """Margin of every machine for every text of a batch."""
         words = lists.flatten().dictionary_encode()
-        table = np.array([self.word(w) for w in words.dictionary.to_pylist()]).reshape(-1, len(self.biases) + 1)
+        table = self.words(words.dictionary.to_pylist())
         place = words.indices.to_numpy()
         ends = np.cumsum(pc.list_value_length(lists).to_numpy(False).astype(np.int64))
         sums = np.zeros((len(lists), table.shape[1]))
