@@ -10,8 +10,8 @@
 3. *Filter.* Phrases of up to ``FILTERED`` words are counted over all shards by 40-bit hashes. Those
    that reach ``LEAST`` go on, and longer phrases are made only where all parts of ``FILTERED`` words
    do. A collision can only leave more in: no phrase is lost by the filter.
-4. *Sum.* What is left is counted by 96-bit hashes; the first shard that holds a frequent phrase
-   gives its words. Two of 10**10 phrases share a hash once in 10**9 tables. A phrase that two words
+4. *Sum.* What is left is counted by 80-bit hashes; the first shard that holds a frequent phrase
+   gives its words. Two of 10**10 phrases share a hash once in 24,000 tables. A phrase that two words
    follow in one shard, and two precede in one, has no longer one that is as frequent; all others
    are compared with those.
 5. *Score.* Each cut of a candidate looks up its two parts, which are at least as frequent.
@@ -43,10 +43,12 @@ from webstrata.llm.substrings import mixed, powers
 LEAST = 100
 DEPTH = 5
 TOP = 2000
-FILTERED = 3
+FILTERED = 4
 UNKNOWN = "und"
 #: Hashes of the filter keep their upper 40 bits.
 _KEPT = np.uint64(((1 << 40) - 1) << 24)
+#: The others keep 48 bits, and 32 of a second hash.
+_LONG = np.uint64(((1 << 48) - 1) << 16)
 _STEP = 0x9E3779B97F4A7C15
 #: Characters that end a piece become a line feed, the other blank between words a space.
 _ENDS = bytes.maketrans(b"\t.,;:!?\x0b\x0c\r", b" " + b"\n" * 9)
@@ -279,7 +281,7 @@ def _frequent(least: int):
 
 
 def _long(buckets: int, filtered: int, depth: int):
-    """All phrases of a shard that the filter leaves, with counts and neighbours, by 96-bit hashes."""
+    """All phrases of a shard that the filter leaves, with counts and neighbours, by 80-bit hashes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -309,7 +311,7 @@ def _sent(block: int, made: Sequence, alive: np.ndarray, buckets: int, filtered:
         before, after = index.neighbours()
         columns.append(
             (
-                index.hashes(named), (index.hashes(named, 1) >> np.uint64(32)).astype(np.uint32),
+                index.hashes(named) & _LONG, (index.hashes(named, 1) >> np.uint64(32)).astype(np.uint32),
                 index.level[1].astype(np.uint32), (before > 0).astype(np.uint8) + 2 * (after > 0).astype(np.uint8),
                 index.starts().astype(np.uint32), np.full(len(before), index.words, np.uint8),
             )
@@ -325,7 +327,7 @@ def _sent(block: int, made: Sequence, alive: np.ndarray, buckets: int, filtered:
         {
             "bucket": b,
             "blob": blocks.bundle(
-                blocks.pack_sorted(token[s]), blocks.pack(check[s]), blocks.pack(counts[s]), blocks.pack(sides[s])
+                blocks.pack_sorted(token[s] >> np.uint64(16)), blocks.pack(check[s]), blocks.pack(counts[s]), blocks.pack(sides[s])
             ),
         }
         for b, s in split
