@@ -128,8 +128,11 @@ def test_enrichment(rows):
     kept = enrich.usable(rows_).collect()
     assert [tuple(t) for t in {r.url: r for r in kept}["a"].structured_text] == [("p", "x")]
     assert {r.url: r for r in kept}["b"].structured_text is None
-    stats = enrich.run_stats(rows_.select("status"), listed.filter("url = 'e'")).first()
-    assert tuple(stats) == (2, 2, 4, 1, 100.0)
+    skipped = listed.filter("url = 'e'")
+    assert tuple(enrich.run_stats(rows_.select("status"), todo, skipped).first()) == (2, 2, 4, 1, 100.0)
+    half = rows_.filter("url in ('a', 'c')").select("status")
+    assert tuple(enrich.run_stats(half, todo, skipped).first()) == (1, 1, 4, 1, 50.0)
+    assert tuple(enrich.run_stats(half.limit(0), todo.limit(0), skipped).first()) == (0, 0, 0, 1, 0.0)
     copies = rows("url string, html string, n int", ("a", "2", 2), ("a", "1", 1), ("b", "3", 9))
     assert {tuple(r) for r in enrich.one_capture(copies, "n").collect()} == {("a", "1"), ("b", "3")}
 

@@ -76,16 +76,17 @@ def usable(enriched: DataFrame) -> DataFrame:
     return enriched.filter(F.col("status").isin(*USABLE)).drop("status")
 
 
-def run_stats(status: DataFrame, skipped: DataFrame) -> DataFrame:
-    """``success, failed, total, percent_done`` of this run and URLs skipped by it."""
+def run_stats(status: DataFrame, listed: DataFrame, skipped: DataFrame) -> DataFrame:
+    """``success, failed`` of the URLs tried so far, ``total`` URLs to do in this run, those ``skipped``
+    by it, and ``percent_done``: the share of the list that was tried."""
     ok = F.col("status").isin(*USABLE)
     counts = status.agg(
         F.count_if(ok).alias("success"),
         F.count_if(F.col("status") == "failed").alias("failed"),
-        F.count(F.lit(1)).alias("total"),
     )
     done = F.col("success") + F.col("failed")
-    return counts.select(
+    total = F.lit(listed.agg(F.count(F.lit(1))).scalar())
+    return counts.withColumn("total", total).select(
         "*",
         F.lit(skipped.agg(F.count(F.lit(1))).scalar()).alias("skipped"),
         F.when(F.col("total") > 0, done / F.col("total") * 100).otherwise(0.0).alias("percent_done"),

@@ -413,13 +413,14 @@ def all_oracles() -> dict[str, str]:
           FROM ({LISTED}) LEFT JOIN (SELECT url, html FROM pages) p USING (url)""",
         "resume_anti": TO_DO,
         "run_stats": f"""
-          WITH t AS (SELECT html IS NOT NULL AS ok FROM ({TO_DO})
+          WITH t AS (SELECT html IS NOT NULL AS ok, length(url) % 4 > 0 AS tried FROM ({TO_DO})
                      LEFT JOIN (SELECT url, html FROM pages) p USING (url))
-          SELECT count(*) FILTER (ok) AS success, count(*) FILTER (NOT ok) AS failed,
+          SELECT count(*) FILTER (tried AND ok) AS success, count(*) FILTER (tried AND NOT ok) AS failed,
                  count(*) AS total, (SELECT count(*) FROM ({DONE})) AS skipped,
-                 round(count(*) / count(*) * 100.0, 6) AS percent_done FROM t""",
+                 round(count(*) FILTER (tried) / count(*) * 100.0, 6) AS percent_done FROM t""",
         "url_list_csv": LISTED,
-        "plain_list_csv": DONE,
+        "plain_list_csv": f"SELECT CASE WHEN starts_with({bare}, 'http') THEN {bare}"
+        f" ELSE 'https://' || {bare} END AS url FROM pages",
         "named_list_csv": "SELECT url FROM pages",
         "tokens": f"SELECT doc_id, CAST(len(words) AS BIGINT) AS n,"
         f" md5(array_to_string(words, ' ')) AS digest FROM ({WORDS})",
@@ -438,6 +439,18 @@ def all_oracles() -> dict[str, str]:
           SELECT page_id, row_number() OVER (PARTITION BY {label('url')} ORDER BY md5(url), url)
             <= round({settings.TEST_SHARE} * count(*) OVER (PARTITION BY {label('url')})) AS is_test
           FROM pages""",
+        "split_parts": f"""
+          SELECT page_id, CASE WHEN r <= t THEN 'test'
+            WHEN r <= t + round(0.1 * (n - t)) THEN 'validation' ELSE 'train' END AS part
+          FROM (SELECT *, round({settings.TEST_SHARE} * n) AS t FROM (
+            SELECT page_id, row_number() OVER (PARTITION BY {label('url')} ORDER BY md5(url), url) AS r,
+              count(*) OVER (PARTITION BY {label('url')}) AS n FROM pages))""",
+        "split_parts_documents": """
+          SELECT doc_id, CASE WHEN r <= t THEN 'test'
+            WHEN r <= t + round(0.25 * (n - t)) THEN 'validation' ELSE 'train' END AS part
+          FROM (SELECT *, round(0.3 * n) AS t FROM (
+            SELECT doc_id, row_number() OVER (PARTITION BY toxic ORDER BY md5(doc_id::varchar), doc_id::varchar) AS r,
+              count(*) OVER (PARTITION BY toxic) AS n FROM labels))""",
         "class_report": REPORT,
         "confusion": "SELECT CAST(k AS BIGINT) AS label,"
         " (SELECT count(*) FROM labels WHERE quality = k AND toxic = 0) AS pred_0,"

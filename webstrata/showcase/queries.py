@@ -540,10 +540,12 @@ def resume_anti(spark, folder):
 
 @query
 def run_stats(spark, folder):
+    """A run that has tried the URLs whose length leaves a remainder by 4."""
     done = _done(spark, folder)
     todo = enrich.to_do(_listed(spark, folder), done)
-    rows = enrich.enrich(enrich.fetched(todo, pages(spark, folder)))
-    stats = enrich.run_stats(rows.select("status"), done)
+    tried = todo.filter(F.length("url") % 4 > 0)
+    rows = enrich.enrich(enrich.fetched(tried, pages(spark, folder)))
+    stats = enrich.run_stats(rows.select("status"), todo, done)
     return stats.withColumn("percent_done", F.round("percent_done", 6))
 
 
@@ -572,8 +574,10 @@ def url_list_csv(spark, folder):
 
 @query
 def plain_list_csv(spark, folder):
+    """All URLs without their scheme, as the raw list has them, written, read and standardized."""
     path = fresh_folder(spark, "plain-list")
-    sinks.write_plain_list(_lists(spark, folder)[0], path)
+    bare = pages(spark, folder).select(F.regexp_replace("url", "^https://", "").alias("url"))
+    sinks.write_plain_list(bare, path)
     return url_list.standard_list(tables.plain_list(spark, path)).select("url")
 
 
@@ -661,6 +665,20 @@ def split_stratified(spark, folder):
     return split.stratified(rows, "url", "label").select("page_id", "is_test")
 
 
+@query
+def split_parts(spark, folder):
+    """Exact shares of every label in test, validation and training rows."""
+    rows = with_label(pages(spark, folder).select("page_id", "url"))
+    return split.stratified_parts(rows, "url", "label").select("page_id", "part")
+
+
+@query
+def split_parts_documents(spark, folder):
+    """The same over the labelled documents, for a label of its own validation share."""
+    rows = table(spark, folder, "labels").withColumn("key", F.col("doc_id").cast("string"))
+    return split.stratified_parts(rows, "key", "toxic", 0.3, 0.25).select("doc_id", "part")
+
+
 @query
 def class_report(spark, folder):
     found = metrics.classification_report(table(spark, folder, "labels"), "quality", "toxic")

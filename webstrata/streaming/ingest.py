@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from webstrata import settings
-from webstrata.operators import enrich
+from webstrata.operators import enrich, membership
 from webstrata.sources import sinks, tables
 
 CAPTURES = "url string, label int, html string"
@@ -40,6 +40,11 @@ def stored(spark: SparkSession, out: str) -> DataFrame:
     return spark.read.schema(schema).parquet(out)
 
 
+def index_of(out: str) -> str:
+    """Folder of the filters and URL buckets of the batches stored below ``out``."""
+    return f"{out.rstrip('/')}-index"
+
+
 def run_id(spark: SparkSession, checkpoint: str) -> str:
     """Name of the runs that share a checkpoint; kept inside it, so a new one has a new name."""
     path = f"{checkpoint}/run-id"
@@ -60,7 +65,8 @@ def start(
     Batch n is written to ``run=<checkpoint's name>/batch=n``, overwriting what a failed attempt
     may have left, so a replayed batch stores nothing twice. URLs of all other stored batches, of
     whatever run, are skipped: with a new or lost checkpoint the work resumes from the output
-    itself. Failed captures are not stored and may come again.
+    itself. Filters beside the output (``index_of``) tell which URLs may be stored, and only those are
+    compared with stored URLs. Failed captures are not stored and may come again.
     """
     run = run_id(captures.sparkSession, checkpoint)
 
@@ -69,11 +75,12 @@ def start(
         one = F.min_by(F.struct("label", "html"), F.md5("html"))
         rows = batch.filter(F.col("html").isNotNull()).groupBy("url").agg(one.alias("c"))
         rows = rows.select("url", "c.*")
-        own = (F.col("run") == run) & (F.col("batch") == number)
-        done = stored(spark, out).filter(~own)
-        rows = rows.join(done.select("url"), "url", "left_anti")
+        rows = membership.unseen(rows, out, index_of(out), (run, number))
         kept = enrich.usable(enrich.enrich(rows))
-        sinks.append_pages(kept, f"{out}/run={run}/batch={number}", rows_per_file, mode="overwrite")
+        folder = f"{out}/run={run}/batch={number}"
+        sinks.append_pages(kept, folder, rows_per_file, mode="overwrite")
+        written = spark.read.schema("url string").parquet(folder)
+        membership.write(written, index_of(out), run, number)
 
     return (
         captures.writeStream.foreachBatch(store)
