@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 
-from webstrata import settings
 from webstrata.operators import enrich
 from webstrata.sources import sinks
 
@@ -14,7 +13,7 @@ def run(
     pages: DataFrame,
     out: str,
     done: DataFrame | None = None,
-    rows_per_file: int = settings.ROWS_PER_FILE,
+    rows_per_file: int | None = None,
     served: bool = False,
     order: str | None = None,
 ) -> None:

@@ -47,6 +47,7 @@ class Training:
     min_leaf_rows: int = settings.BOOSTING["min_leaf_rows"]
     patience: int = settings.BOOSTING["patience"]
     linear_rounds: int = 1000
+    linear_tolerance: float = 1e-4  # of the objective, relative
     test_share: float = settings.TEST_SHARE
     validation_share: float = 0.1
     seed: int = settings.SEED
@@ -139,8 +140,14 @@ def fit_linear(
         elasticNetParam=0.0,
         standardization=standardize,
         maxIter=config.linear_rounds,
+        tol=config.linear_tolerance,
     )
-    return Pipeline(stages=[linear]).fit(features)
+    # A step adds up one array of all columns a task, so there are no more tasks than rows fill.
+    few = features.coalesce(max(1, -(-rows // boosting.BLOCK_ROWS))).persist()
+    try:
+        return Pipeline(stages=[linear]).fit(few)
+    finally:
+        few.unpersist()
 
 
 def whole_model(config: Training, fitted: PipelineModel) -> PipelineModel:

@@ -8,7 +8,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from webstrata import settings
 from webstrata.operators import enrich, membership
 from webstrata.sources import sinks, tables
 
@@ -58,7 +57,7 @@ def start(
     captures: DataFrame,
     out: str,
     checkpoint: str,
-    rows_per_file: int = settings.ROWS_PER_FILE,
+    rows_per_file: int | None = None,
 ) -> StreamingQuery:
     """Process what is there and stop; a later start goes on from the checkpoint.
 
