@@ -464,6 +464,19 @@ def all_oracles() -> dict[str, str]:
         "rate_30s": "SELECT strftime(time_bucket(INTERVAL 30 SECONDS, ts), '%Y-%m-%d %H:%M:%S') AS start,"
         " count(*) AS n, round(count(*) / 30.0, 6) AS rate FROM events GROUP BY 1",
     }
+    found["null_fill"] = (
+        "SELECT p.url, s.* EXCLUDE (page_id) FROM pages p JOIN ("
+        + structural("SELECT page_id, html FROM pages WHERE length(url) % 5 <> 0")
+        + " UNION ALL SELECT page_id, 0, 0, 0, 0, 0, 0 FROM pages WHERE length(url) % 5 = 0) s ON s.page_id = p.page_id"
+    )
+    found["class_guard"] = "SELECT count(*) AS n, count(DISTINCT quality) AS classes FROM labels WHERE quality IS NOT NULL"
+    found["feature_widths"] = (
+        f"SELECT url AS page_url, {settings.HASH_BUCKETS}::BIGINT AS text, {len(settings.URL_FEATURES)}::BIGINT AS url,"
+        f" {len(settings.STRUCTURAL_FEATURES)}::BIGINT AS structural, {len(settings.CONTENT_FEATURES)}::BIGINT AS content,"
+        f" {settings.HASH_BUCKETS + 15}::BIGINT AS total FROM pages"
+    )
+    found["report_json"] = found["report_csv"] = found["label_dist"]
+    found["feature_store"] = found["dense_features"]
     found["std_url_blanks"] = found["std_url"]
     found["tag_counts_broken"] = found["tag_counts"]
     found["rate_30s_stream"] = found["rate_30s"]

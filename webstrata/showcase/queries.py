@@ -400,6 +400,35 @@ def label_dist(spark, folder):
     return longs(found.withColumn("share", F.round("share", 6)))
 
 
+def _label_report(spark: SparkSession, folder: str, form: str) -> str:
+    path = fresh_folder(spark, "report")
+    sinks.write_report(metrics.label_distribution(table(spark, folder, "labels"), "quality"), path, form)
+    return path
+
+
+@query
+def report_json(spark, folder):
+    """The label distribution as the JSON report of a run, read again."""
+    found = spark.read.json(_label_report(spark, folder, "json"))
+    return longs(found.withColumn("share", F.round("share", 6)))
+
+
+@query
+def report_csv(spark, folder):
+    """The same as the text report."""
+    schema = "label long, n long, share double, classes long"
+    found = spark.read.schema(schema).option("header", True).csv(_label_report(spark, folder, "csv"))
+    return found.withColumn("share", F.round("share", 6))
+
+
+@query
+def class_guard(spark, folder):
+    """Rows to train on, let through by the guard that wants two classes."""
+    rows = table(spark, folder, "labels").filter("quality is not null")
+    classes = split.require_classes(rows, "quality")
+    return rows.agg(F.count(F.lit(1)).alias("n"), F.lit(classes).cast("long").alias("classes"))
+
+
 # --- links and expansion ---
 
 
@@ -712,6 +741,38 @@ def dense_features(spark, folder):
     return longs(rows.select("url", *training.DENSE))
 
 
+@query
+def null_fill(spark, folder):
+    """Structural features of the model's first stage, every fifth page without HTML."""
+    rows = main_table(spark, folder)
+    html = F.when(F.length("url") % 5 != 0, F.col("html_content"))
+    built = PageFeatures().transform(rows.withColumn("html_content", html))
+    return longs(built.select("url", *settings.STRUCTURAL_FEATURES))
+
+
+@query
+def feature_store(spark, folder):
+    """Dense features stored under the key of configuration and input, and read by a second run."""
+    source, root = fresh_folder(spark, "main"), fresh_folder(spark, "feature-store")
+    rows = with_label(heavy_pages(spark, folder)).drop("domain")
+    sinks.append_pages(enrich.usable(enrich.enrich(rows)), source)
+    build = lambda main: PageFeatures().transform(main).select("url", *training.DENSE)
+    _, first = sinks.feature_table(source, root, {"stage": "dense"}, build, spark)
+    found, second = sinks.feature_table(source, root, {"stage": "dense"}, build, spark)
+    if first != second:
+        raise ValueError("the second run did not find the stored features")
+    return longs(found)
+
+
+@query
+def feature_widths(spark, folder):
+    """Columns of each feature group, from the schema, beside the width of every page's vector."""
+    rows = training.feature_rows(main_table(spark, folder), WHOLE)
+    groups = {name: F.lit(n).cast("long").alias(name) for name, n in training.widths(rows).items()}
+    total = F.unwrap_udt("features")["size"].cast("long").alias("total")
+    return rows.select(F.col("url").alias("page_url"), *groups.values(), total)
+
+
 @query
 def feature_table(spark, folder):
     rows = training.feature_rows(main_table(spark, folder), WHOLE)
