@@ -1,6 +1,7 @@
 import time
 from html.parser import HTMLParser
 
+import pyarrow as pa
 import pytest
 
 from hypothesis import given, settings as hypothesis_settings, strategies as st
@@ -167,3 +168,25 @@ def test_unclosed_markup_takes_linear_time(spark, part):
 def test_a_tag_that_is_not_closed_is_text():
     assert blocks.page_blocks('<p>a <b x="1') == [{"tag": "p", "text": 'a <b x="1'}]
     assert blocks.page_blocks("<p>a</p") == [{"tag": "p", "text": "a</p"}]
+
+
+def test_blocks_leave_a_worker_in_slices():
+    """A batch of any size is parsed a slice at a time, rows in their order and none left out."""
+    pages = [None if i % 50 == 7 else "" if i % 50 == 8 else f"<p>a{i}</p><li>b" for i in range(1000)]
+    pages[500] = "<p>" + "x" * blocks.SLICE_CHARS
+    taken = []
+
+    def batches():
+        for start in (0, 600, 600):
+            taken.append(start)
+            yield pa.array(pages[start : 1000 if start else 600] if len(taken) < 3 else [], pa.string())
+
+    found, sizes = [], []
+    for part in blocks._parse_batches(batches()):
+        if not sizes:
+            assert taken == [0]
+        sizes.append(len(part))
+        found += part.to_pylist()
+    assert max(sizes) <= blocks.SLICE_ROWS and len(sizes) > 1000 // blocks.SLICE_ROWS
+    assert found == [None if p is None else (blocks.page_blocks(p) or None) for p in pages]
+    assert found[500][0]["text"] == pages[500][3:] and found[7] is None and found[8] is None
