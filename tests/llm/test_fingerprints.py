@@ -58,3 +58,14 @@ def test_edges(documents, prose):
     assert one["near_next"] == 1.0 and one["near_edited"] < 1
     rows = fingerprints.compare(documents([(None, "a b c"), (None, "a b c"), (1, None), (1, "")])).collect()
     assert len(rows) == 4 and all(0 <= r["near_next"] <= 1 for r in rows)
+
+
+def test_a_rank_computes_its_hash_once(spark):
+    """No condition stands around a rank; texts without a term still have no sample."""
+    rows = spark.createDataFrame([(1, "a b a"), (2, ""), (3, None), (4, " \t")], "doc_id int, text string")
+    sampled = fingerprints.sample(rows, ["doc_id"], "text")
+    plan = sampled._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("min(") >= fingerprints.IN_GROUP and "min(CASE" not in plan
+    found = {r["doc_id"]: r["fingerprint"] for r in sampled.collect()}
+    empty = fingerprints.NEVER * fingerprints.SAMPLES
+    assert found[2] == found[3] == found[4] == empty != found[1]

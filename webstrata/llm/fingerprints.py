@@ -58,7 +58,9 @@ def rank(term: Column, log_weight: Column, position: Column, steps: Column, logs
     step = F.get(steps, bits.bitwiseAND(mask).cast("int"))
     log_c = F.get(logs, F.shiftrightunsigned(bits, 10).bitwiseAND(mask).cast("int"))
     shift = F.shiftrightunsigned(bits, 20) / F.lit(float(1 << 44))
-    return log_c - step * (F.floor(log_weight / step + shift) - shift + 1)
+    # A weight of one has t = 0.
+    above = F.when(log_weight == 0, 1 - shift).otherwise(F.floor(log_weight / step + shift) - shift + 1)
+    return log_c - step * above
 
 
 def weighted_terms(words: Column) -> tuple[Column, Column]:
@@ -91,10 +93,11 @@ def sample(rows: DataFrame, key: list[str], text: str) -> DataFrame:
         .select(*key, F.col("_t.h").alias("_h"), F.log(F.col("_t.w").cast("double")).alias("_w"))
         .select(*key, "_h", "_w", F.explode(F.array(*map(F.lit, range(GROUPS)))).alias("_g"))
     )
+    # Without a term the weight, and so the rank, is NULL. No condition stands around a rank, or Spark
+    # would compute its hash and step anew wherever the rank names them.
     ranks = [
-        F.when(F.col("_h").isNotNull(), rank(F.col("_h"), F.col("_w"), F.col("_g") * IN_GROUP + i, steps, logs))
-        for i in range(IN_GROUP)
-    ]
+        rank(F.col("_h"), F.col("_w"), F.col("_g") * IN_GROUP + i, steps, logs) for i in range(IN_GROUP)
+    ]
     least = terms.groupBy(*key, "_g").agg(*[F.min(r).alias(f"_{i}") for i, r in enumerate(ranks)])
     digits = [
         F.coalesce(
