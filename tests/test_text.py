@@ -89,3 +89,12 @@ def test_keys(rows):
     assert len(keys.config_key({})) == 12
     row = rows("a int", (1,)).select(keys.fingerprint("a"), keys.run_id("abcdefghi")).first()
     assert len(row[0]) == 12 and re.fullmatch(r"\d{8}_\d{6}_abcdefg", row[1])
+
+
+def test_term_stats_need_no_sort_inside_a_row(rows):
+    found = vocabulary.term_stats(
+        rows("id int, t array<string>", (1, ["b", "a", "b", "é"]), (2, ["b"]), (3, []), (4, None), (5, ["b", "b"])), "t"
+    )
+    assert "sort_array" not in found._jdf.queryExecution().optimizedPlan().toString()
+    assert {tuple(r) for r in found.collect()} == {("a", 1, 1), ("b", 5, 3), ("é", 1, 1)}
+    assert dict(found.dtypes) == {"term": "string", "tf": "bigint", "df": "bigint"}
